@@ -7,15 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.common import table
+from spindrift.llm.language import identify_languages
+from spindrift.llm.mixing import mix_plan
+from spindrift.llm.secrets import find_secrets
 from spindrift.llm.simhash import simhash_duplicates
+from spindrift.llm.token_counts import token_counts
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op4_simhash": op4_simhash,
+    "op6_secrets": op6_secrets,
+    "op7_mixing": op7_mixing,
+    "op10_language": op10_language,
 }
 
 ORACLE: dict[str, str] = {}
