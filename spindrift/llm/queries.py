@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from spindrift.llm.common import table
 from spindrift.llm.language import identify_languages
 from spindrift.llm.mixing import mix_plan
+from spindrift.llm.quality import ORACLE_SQL as QUALITY_SQL
+from spindrift.llm.quality import quality_rules
 from spindrift.llm.secrets import find_secrets
 from spindrift.llm.simhash import simhash_duplicates
 from spindrift.llm.token_counts import token_counts
@@ -30,6 +32,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -39,7 +45,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op9_quality": op9_quality,
     "op10_language": op10_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_quality": QUALITY_SQL,
+}
