@@ -9,7 +9,6 @@ maximisation (forward-backward over the same lattices).
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,11 +31,13 @@ ROUNDS = 3
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
 #: Probability of a character that is no piece, the same in all languages.
-UNKNOWN = 1e-8
+UNKNOWN = 1e-7
 UNDETERMINED = "und"
 #: Words longer than this go through the pass in logarithms, where nothing underflows.
-LONG_WORD = 48
+LONG_WORD = 38
 REMEMBERED = 200_000
+#: Words that are looked up in one go.
+AT_ONCE = 1 << 16
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -110,54 +111,99 @@ class Model:
 
 
 class Scorer:
+    """Scores texts; likelihoods of words are worked out for many new words at once and remembered."""
+
     def __init__(self, model: Model):
         self.lattice = Lattice(model.vocabulary)
         self.languages = model.languages
-        self.probability = model.probability
+        #: One more row, for a character that is no piece.
+        self.probability = np.vstack([model.probability, np.full((1, len(model.languages)), UNKNOWN)])
         self.known: dict[str, int] = {}
-        self.rows = np.empty((1024, len(model.languages)))
-
-    def word(self, word: str) -> np.ndarray:
-        """Log likelihood of a word under each language, summed over all segmentations."""
-        arcs = self.lattice.arcs(word)
-        n = len(word) + 1
-        width = len(self.languages)
-        if len(word) > LONG_WORD:
-            logs = [np.zeros(width)] + [np.full(width, -np.inf) for _ in range(n)]
-            for s, e, k in arcs:
-                step = np.log(self.probability[k]) if k >= 0 else math.log(UNKNOWN)
-                logs[e] = np.logaddexp(logs[e], logs[s] + step)
-            return logs[n]
-        ahead = np.zeros((n + 1, width))
-        ahead[0] = 1.0
-        probability = self.probability
-        for s, e, k in arcs:
-            ahead[e] += ahead[s] * (probability[k] if k >= 0 else UNKNOWN)
-        return np.log(ahead[n])
-
-    def place(self, word: str) -> int:
-        """Row of the remembered words that holds a word's likelihoods."""
-        at = len(self.known)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[at] = self.word(word)
-        self.known[word] = at
-        return at
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        """(language, its posterior with equal priors); ('und', 0) for a text without letters."""
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.languages))
-        found = words_of(text)
-        for at in range(0, len(found), 1 << 16):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            known = self.known
-            rows = [r if (r := known.get(w)) is not None else self.place(w) for w in found[at : at + (1 << 16)]]
-            total += self.rows[rows].sum(axis=0)
-        top = int(total.argmax())
-        return self.languages[top], float(1.0 / np.exp(total - total[top]).sum())
+        self.rows = np.empty((0, len(model.languages)))
+
+    def long_word(self, word: str) -> np.ndarray:
+        """Log likelihoods of one word, in logarithms throughout."""
+        logs = [np.zeros(len(self.languages))] + [np.full(len(self.languages), -np.inf) for _ in range(len(word) + 1)]
+        for s, e, k in self.lattice.arcs(word):
+            logs[e] = np.logaddexp(logs[e], logs[s] + np.log(self.probability[k]))
+        return logs[-1]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of words (rows) under each language (columns), summed over all segmentations.
+
+        The words' lattices lie side by side; the forward pass takes all arcs that end at
+        the same place of their words in one step.
+        """
+        out = np.empty((len(words), len(self.languages)))
+        short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
+        for k in set(range(len(words))) - set(short):
+            out[k] = self.long_word(words[k])
+        if not short:
+            return out
+        lengths = np.array([len(words[k]) + 1 for k in short], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        joined = "".join([SPACE + words[k] for k in short])
+        codes = np.fromiter((last << 40 | length << 32 | piece for last, (length, piece) in self.lattice.automaton.iter(joined)), np.int64)
+        last, size, piece = codes >> 40, (codes >> 32) & 0xFF, codes & 0xFFFFFFFF
+        lacking = np.ones(total, bool)
+        lacking[last[size == 1]] = False
+        extra = np.flatnonzero(lacking)
+        last = np.concatenate([last, extra])
+        size = np.concatenate([size, np.ones(len(extra), np.int64)])
+        piece = np.concatenate([piece, np.full(len(extra), len(self.probability) - 1)])
+        word = np.repeat(np.arange(len(short)), lengths)[last]
+        end = last + 1 - starts[word]
+        # A word of n characters has n + 1 nodes, so each word before shifts the nodes by one more.
+        node = last + 1 + word
+        order = np.lexsort((node, end))
+        node, before, piece, end = node[order], (node - size)[order], piece[order], end[order]
+        ahead = np.zeros((total + len(short), len(self.languages)))
+        ahead[starts + np.arange(len(short))] = 1.0
+        edges = np.searchsorted(end, np.arange(1, int(lengths.max()) + 2))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            if low < high:
+                here = node[low:high]
+                firsts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+                ahead[here[firsts]] = np.add.reduceat(ahead[before[low:high]] * self.probability[piece[low:high]], firsts, axis=0)
+        out[short] = np.log(ahead[starts + lengths + np.arange(len(short))])
+        return out
+
+    def remember(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.rows, new = {}, self.rows[:0], list(words)
+        self.rows = np.concatenate([self.rows, self.words(new)]) if new else self.rows
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, its posterior with equal priors) of each text; ('und', 0) without letters."""
+        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+        totals = np.zeros((len(texts), len(self.languages)))
+        lettered = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        held: list[tuple[int, list[str]]] = []
+        count = 0
+
+        def settle() -> None:
+            self.remember({w for _, words in held for w in words})
+            for i, words in held:
+                totals[i] += self.rows[[self.known[w] for w in words]].sum(axis=0)
+            held.clear()
+
+        for i in lettered:
+            found = words_of(texts[i])
+            for at in range(0, len(found), AT_ONCE):
+                part = found[at : at + AT_ONCE]
+                held.append((i, part))
+                count += len(part)
+                if count >= AT_ONCE:
+                    settle()
+                    count = 0
+        settle()
+        for i in lettered:
+            top = int(totals[i].argmax())
+            out[i] = self.languages[top], float(1.0 / np.exp(totals[i] - totals[i, top]).sum())
+        return out
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +254,7 @@ def _predict_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
-            found = [scorer.text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = scorer.texts(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
