@@ -14,12 +14,17 @@ from spindrift.llm.quality import quality_rules
 from spindrift.llm.secrets import find_secrets
 from spindrift.llm.simhash import simhash_duplicates
 from spindrift.llm.token_counts import token_counts
+from spindrift.llm.toxicity import classify_toxicity
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
