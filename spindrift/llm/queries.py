@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.common import table
+from spindrift.llm.contamination import find_contamination
 from spindrift.llm.language import identify_languages
 from spindrift.llm.mixing import mix_plan
 from spindrift.llm.quality import ORACLE_SQL as QUALITY_SQL
@@ -37,6 +38,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op8_contamination": op8_contamination,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
 }
