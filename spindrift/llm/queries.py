@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.common import table
 from spindrift.llm.contamination import find_contamination
+from spindrift.llm.html_text import extract_text
 from spindrift.llm.language import identify_languages
 from spindrift.llm.mixing import mix_plan
 from spindrift.llm.quality import ORACLE_SQL as QUALITY_SQL
@@ -30,6 +31,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_html_text": op5_html_text,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_contamination": op8_contamination,
