@@ -13,12 +13,17 @@ from spindrift.llm.language import identify_languages
 from spindrift.llm.mixing import mix_plan
 from spindrift.llm.quality import ORACLE_SQL as QUALITY_SQL
 from spindrift.llm.quality import quality_rules
+from spindrift.llm.repeats import repeated_passages
 from spindrift.llm.secrets import find_secrets
 from spindrift.llm.simhash import simhash_duplicates
 from spindrift.llm.token_counts import token_counts
 from spindrift.llm.toxicity import classify_toxicity
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
