@@ -28,44 +28,58 @@ RANK_PARTS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that the words come as near ``budget`` from below as possible.
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, times: int = 1, dp_words: int = DP_WORDS) -> np.ndarray:
+    """How many documents of each length to take, each up to ``times`` times, so that the words come near ``budget``.
 
-    lengths: distinct; a length of 0 gets none. Memory follows ``dp_words`` and the
-    longest length, not the counts.
+    lengths: distinct; a length of 0 gets none. Every length gives its proportional share
+    first, and the programme fits the rest. Where few documents leave it far off, the
+    programme fits the whole budget, if it is within ``dp_words``. Memory follows
+    ``dp_words`` and the longest length, not the counts.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    picks = np.zeros(len(lengths), np.int64)
     usable = lengths > 0
-    total = int(sum(int(a) * int(b) for a, b in zip(lengths[usable], counts[usable], strict=True)))
+    total = sum(int(a) * int(b) for a, b in zip(lengths[usable], counts[usable], strict=True))
     if budget <= 0 or not total:
-        return picks
-    if budget >= total:
-        picks[usable] = counts[usable]
-        return picks
-    picks[usable] = [int(c) * budget // total for c in counts[usable]]
-    rest = budget - int(sum(int(a) * int(b) for a, b in zip(lengths, picks, strict=True)))
+        return np.zeros(len(lengths), np.int64)
+    share = np.array([int(c) * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)], np.int64)
+    picks = _fit(lengths, counts * times, share, budget, dp_words)
+    off = abs(budget - int((lengths * picks).sum()))
+    if off and budget <= dp_words:
+        whole = _fit(lengths, counts * times, np.zeros(len(lengths), np.int64), budget, dp_words)
+        if abs(budget - int((lengths * whole).sum())) < off:
+            return whole
+    return picks
+
+
+def _fit(lengths: np.ndarray, limits: np.ndarray, base: np.ndarray, budget: int, dp_words: int) -> np.ndarray:
+    """``base`` and as many more documents, up to ``limits``, as come nearest to ``budget``; of two as near the lower sum."""
+    picks = np.minimum(base, limits)
+    rest = budget - int((lengths * picks).sum())
     order = np.argsort(-lengths, kind="stable")
     for k in order:
         if lengths[k] and rest > dp_words:
-            more = min(int(counts[k] - picks[k]), (rest - dp_words) // int(lengths[k]))
+            more = min(int(limits[k] - picks[k]), (rest - dp_words) // int(lengths[k]))
             picks[k] += more
             rest -= more * int(lengths[k])
+    if rest <= 0:
+        return picks
+    # A sum above the budget is nearer than 0 only below twice the rest.
+    top = 2 * rest
     # via[s]: the lot by which the sum s was first reached; lots are 1, 2, 4, ... documents of one length.
-    via = np.full(rest + 1, -1, np.int32)
-    reached = np.zeros(rest + 1, bool)
+    via = np.full(top + 1, -1, np.int32)
+    reached = np.zeros(top + 1, bool)
     reached[0] = True
     lots: list[tuple[int, int]] = []
     for k in order[::-1]:
-        length, left, lot = int(lengths[k]), int(counts[k] - picks[k]), 1
-        if not length or length > rest:
+        length, left, lot = int(lengths[k]), int(limits[k] - picks[k]), 1
+        if not length or length > top:
             continue
-        left = min(left, rest // length)
+        left = min(left, top // length)
         while left and not reached[rest]:
             take = min(lot, left)
             step = take * length
-            if step <= rest:
-                new = reached[: rest + 1 - step] & ~reached[step:]
+            if step <= top:
+                new = reached[: top + 1 - step] & ~reached[step:]
                 via[step:][new] = len(lots)
                 reached[step:] |= new
                 lots.append((k, take))
@@ -73,7 +87,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
             lot *= 2
         if reached[rest]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - rest).argmin()])
     while at:
         k, take = lots[via[at]]
         picks[k] += take
@@ -82,7 +97,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
 
 
 def _plan(group: pd.DataFrame) -> pd.DataFrame:
-    picks = fit_budget(group["size"].to_numpy(), group["n"].to_numpy(), int(group["budget"].iloc[0]))
+    picks = fit_budget(group["size"].to_numpy(), group["n"].to_numpy(), int(group["budget"].iloc[0]), int(group["times"].iloc[0]))
     return pd.DataFrame({"source_no": group["source_no"], "size": group["size"], "picks": picks})
 
 
@@ -129,7 +144,8 @@ def _taken(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int)
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.withColumn("repeats", repeats.cast("long")).withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("repeats") * F.col("source_size"))
     same_source = F.col("source").eqNullSafe(F.col("of_source"))
-    lengths = histogram.join(targets.withColumnRenamed("source", "of_source"), same_source).select("source_no", "size", "n", "budget")
+    times = (F.lit(int(most)) - F.col("repeats")).alias("times")
+    lengths = histogram.join(targets.withColumnRenamed("source", "of_source"), same_source).select("source_no", "size", "n", "budget", times)
     picks = materialize(lengths.groupBy("source_no").applyInPandas(_plan, "source_no int, size bigint, picks bigint"), "mix-picks")
     # Documents of one source and length are ranked by hash: parts of the hash range are counted first, so no part holds a whole length.
     order = F.xxhash64(F.lit(seed), "id")
@@ -139,9 +155,10 @@ def _taken(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int)
     keys = ["source_no", "size", "part"]
     parts = dealt.groupBy(*keys).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source_no", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("before", F.coalesce(before, F.lit(0))).join(picks, ["source_no", "size"]).select(*keys, "before", "picks")
+    whole = F.sum("n").over(Window.partitionBy("source_no", "size"))
+    parts = parts.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("whole", whole).join(picks, ["source_no", "size"]).select(*keys, "before", "whole", "picks")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("rank_key", "id", "mark"))
-    extra = (F.col("before") + rank <= F.col("picks")).cast("long")
+    extra = F.floor(F.col("picks") / F.col("whole")) + (F.col("before") + rank <= F.col("picks") % F.col("whole")).cast("long")
     return dealt.join(parts, keys).withColumn("copies", F.col("repeats") + extra)
 
 
@@ -180,15 +197,12 @@ def mix(
     A column of ``docs`` called ``copies`` keeps its name; the count then gets a leading underscore.
     """
     columns = docs.columns
-    mark, nth, copies = (fresh_name(docs, x) for x in ("mix_mark", "mix_nth", "copies"))
+    mark, plan_mark, nth, copies = (fresh_name(docs, x) for x in ("mix_mark", "mix_plan_mark", "mix_nth", "copies"))
     sized = materialize(_sized(docs, id_column, text_column, source_column), "mix-sizes")
-    # Equal rows share a mark; numbering them on both sides pairs each with one plan.
-    taken = _taken(sized, weights, most, seed).where("copies > 0").select(
-        F.col("mark").alias("of_mark"),
-        F.row_number().over(Window.partitionBy("mark").orderBy(F.desc("copies"))).alias("of_nth"),
-        F.col("copies").alias("of_copies"),
-    )
-    marked = docs.withColumn(mark, F.xxhash64(*hashable(docs)))
-    marked = marked.withColumn(nth, F.row_number().over(Window.partitionBy(mark).orderBy(mark)))
-    joined = marked.join(taken.toDF(*[fresh_name(marked, c) for c in taken.columns]), [F.col(mark) == F.col(fresh_name(marked, "of_mark")), F.col(nth) == F.col(fresh_name(marked, "of_nth"))])
-    return joined.select(*[F.col(f"`{c}`") for c in columns], F.col(fresh_name(marked, "of_copies")).alias(copies))
+    # Rows equal in all columns share a mark. Their copies differ by one at most, so three numbers tell how often to take how many.
+    plan = _taken(sized, weights, most, seed).groupBy("mark").agg(F.min("copies").alias("low"), F.sum("copies").alias("all"), F.count("*").alias("n"))
+    plan = plan.where(F.col("all") > 0).select(F.col("mark").alias(plan_mark), F.struct("low", (F.col("all") - F.col("n") * F.col("low")).alias("more")).alias(copies))
+    joined = docs.withColumn(mark, F.xxhash64(*hashable(docs))).join(plan, F.col(mark) == F.col(plan_mark))
+    numbered = joined.withColumn(nth, F.row_number().over(Window.partitionBy(mark).orderBy(mark)))
+    taken = numbered.withColumn(copies, F.col(f"`{copies}`.low") + (F.col(nth) <= F.col(f"`{copies}`.more")).cast("long"))
+    return taken.where(F.col(copies) > 0).select(*[F.col(f"`{c}`") for c in columns], copies)

@@ -236,7 +236,7 @@ def choose_patterns(patterns: list[str], labels: np.ndarray, found: list[np.ndar
     patterns is explained and speaks for no further one; so words that merely come along
     (a copied text's vocabulary) stay out.
     """
-    sizes = np.array([len(f) for f in found])
+    sizes = np.array([len(f) for f in found], np.int64)
     text = np.repeat(np.arange(len(found)), sizes)
     pattern = np.concatenate(found) if len(found) and sizes.sum() else np.empty(0, np.int64)
     n_toxic, n_clean = float((labels == 1).sum()), float((labels == 0).sum())
