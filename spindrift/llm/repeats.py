@@ -30,13 +30,13 @@ from spindrift.llm.components import connected_components
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 4, 2
-#: A cut is the lowest of its neighbours up to this many words away; paragraphs have some 13 words.
-CUT_REACH = 6
+#: A cut is the lowest of its neighbours up to this many words away; paragraphs have some 9 words.
+CUT_REACH = 4
 LONGEST = 64
 #: Successive equal words that make a run of their own.
 RUN = 16
 LEAST_BANDED = 8
-#: Words of a run of repeated paragraphs that make a passage. Of any copied 51 words, whole paragraphs nearly always cover more.
+#: Words of a run of repeated paragraphs that make a passage. Whole paragraphs cover fewer of a copied 51 words in 2 cases of 1,000 (simulated).
 LEAST_PASSAGE = 20
 #: Words between two paragraphs of a run: one too short to be a paragraph of its own.
 RUN_GAP = SHINGLE - 1
@@ -141,60 +141,77 @@ def band_keys(grams: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.nd
     return out
 
 
-_SPLIT = "spot bigint, hash bigint"
+_UNITS = "spot bigint, hash bigint, n int, head bigint, more array<bigint>, grams array<int>"
+
+
+def _sets_of(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, members) of each paragraph's set of shingles, sorted."""
+    size = length - SHINGLE + 1
+    unit = np.repeat(np.arange(len(first)), size)
+    within = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+    member = values[np.repeat(first, size) + within]
+    order = np.lexsort((member, unit))
+    unit, member = unit[order], member[order]
+    new = np.ones(len(unit), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (member[1:] != member[:-1])
+    return np.concatenate([[0], np.cumsum(np.bincount(unit[new], minlength=len(first)))]).astype(np.int32), member[new]
 
 
 def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, spot, hash); a spot is the first word times 128 plus the number of words."""
-    own = Paragraphs()
-    for batch in batches:
-        rows, spots, hashes = [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            if text:
-                _, first, length, found = own.split(text)
-                rows.append(np.full(len(first), i))
-                spots.append(first * 128 + length)
-                hashes.append(found)
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(spots).astype(np.int64)), pa.array(np.concatenate(hashes).view(np.int64))],
-                names=[batch.schema.names[0], "spot", "hash"],
-            )
-
-
-def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, hash, n): the bands of each paragraph, once for a batch and those before it.
-
-    n counts the paragraph in the batch and stands in the first band's row; a paragraph
-    too short for bands has its hash as key.
+    """A row for each paragraph: id, spot (first word times 128, plus the number of words) and hash.
+
+    The first of equal paragraphs of a batch has their number ``n`` and ``head``, the key
+    of the first band (the hash, if it is too short for bands). If no batch just before had
+    it, either, it has the keys of the other bands, ``more``, and its shingles, ``grams``.
     """
     own = Paragraphs()
     sent: set[int] = set()
     for batch in batches:
-        parts = [own.split(t) for t in batch.column(0).to_pylist() if t]
+        parts, rows, base = [], [], 0
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            if text:
+                symbols, first, length, found = own.split(text)
+                if len(first):
+                    grams = shingles(symbols)
+                    parts.append((grams, first + base, length, found, first))
+                    rows.append(np.full(len(first), i))
+                    base += len(grams)
         if not parts:
             continue
-        hashes = np.concatenate([p[3] for p in parts])
-        keys = np.concatenate([band_keys(shingles(s), f, k) for s, f, k, _ in parts])
-        lengths = np.concatenate([p[2] for p in parts])
+        grams, first, length, hashes, place = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        keys = band_keys(grams, first, length)
         once, at, counts = np.unique(hashes, return_index=True, return_counts=True)
-        banded = lengths[at] >= LEAST_BANDED
-        fresh = np.fromiter((h not in sent for h in once.tolist()), bool, len(once))
+        n = np.zeros(len(hashes), np.int32)
+        n[at] = counts
+        banded = length >= LEAST_BANDED
+        fresh = np.zeros(len(hashes), bool)
+        fresh[at] = [h not in sent for h in once.tolist()]
+        fresh &= banded
         if len(sent) > REMEMBERED:
             sent.clear()
         sent.update(once.tolist())
-        head = np.where(banded, keys[at, 0], once)
-        more = banded & fresh
+        offsets, members = _sets_of((grams >> np.uint64(32)).astype(np.uint32).view(np.int32), first[fresh], length[fresh])
+        counted = n > 0
+        spread = np.concatenate([[0], np.cumsum(fresh)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([head, keys[at][more, 1:].T.ravel()]).view(np.int64)),
-                pa.array(np.concatenate([once, np.tile(once[more], BANDS - 1)]).view(np.int64)),
-                pa.array(np.concatenate([counts, np.zeros(int(more.sum()) * (BANDS - 1), np.int64)]).astype(np.int32)),
+                batch.column(0).take(pa.array(np.concatenate(rows))),
+                pa.array(place * 128 + length),
+                pa.array(hashes.view(np.int64)),
+                pa.array(n, mask=~counted),
+                pa.array(np.where(banded, keys[:, 0], hashes).view(np.int64), mask=~counted),
+                _lists(spread * (BANDS - 1), keys[fresh, 1:].ravel().view(np.int64), fresh),
+                _lists(offsets[spread], members, fresh),
             ],
-            names=["key", "hash", "n"],
+            names=[batch.schema.names[0], "spot", "hash", "n", "head", "more", "grams"],
         )
 
 
+def _lists(offsets: np.ndarray, values: np.ndarray, there: np.ndarray) -> pa.ListArray:
+    """Lists of ``values``; null where not ``there``."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=pa.array(~there))
+
+
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (key, hash, n), sorted: hashes seen twice or more (key null), and the members of buckets of two hashes or more."""
     held: tuple[np.ndarray, ...] | None = None
@@ -231,31 +248,6 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield settle(*held)
 
 
-def _content_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, grams): the shingles of each banded paragraph as sorted 32-bit hashes, once for a batch and those before it."""
-    own = Paragraphs()
-    sent: set[int] = set()
-    for batch in batches:
-        hashes, grams = [], []
-        for text in batch.column(0).to_pylist():
-            if not text:
-                continue
-            symbols, first, length, found = own.split(text)
-            all_grams = (shingles(symbols) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            for h, s, k in zip(found.tolist(), first.tolist(), length.tolist(), strict=True):
-                if k >= LEAST_BANDED and h not in sent:
-                    sent.add(h)
-                    hashes.append(h)
-                    grams.append(np.unique(all_grams[s : s + k - SHINGLE + 1]))
-        if len(sent) > REMEMBERED:
-            sent.clear()
-        if hashes:
-            offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(grams)))], names=["hash", "grams"]
-            )
-
-
 def similar(a: frozenset[int], b: frozenset[int]) -> bool:
     """Whether the exact Jaccard similarity of two shingle sets reaches ``SIMILAR``."""
     small, large = sorted((len(a), len(b)))
@@ -355,13 +347,14 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     use_small_batches(spark)
     kind = docs.schema[id_column].dataType.simpleString()
     narrow = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    units = materialize(narrow.mapInArrow(_unit_batches, f"id {kind}, {_SPLIT}"), "repeat-units")
-    bands = narrow.select("text").mapInArrow(_band_batches, "key bigint, hash bigint, n int")
+    units = materialize(narrow.mapInArrow(_unit_batches, f"id {kind}, {_UNITS}"), "repeat-units")
+    more = units.where("more is not null").select(F.explode("more").alias("key"), "hash", F.lit(0).alias("n"))
+    bands = units.where("n is not null").select(F.col("head").alias("key"), "hash", "n").unionAll(more)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     sorted_bands = bands.repartition("key").sortWithinPartitions("key", "hash")
     buckets = materialize(sorted_bands.mapInArrow(_bucket_batches, "key bigint, hash bigint"), "repeat-buckets")
     use_small_batches(spark)
-    contents = narrow.select("text").mapInArrow(_content_batches, "hash bigint, grams array<int>")
+    contents = units.where("grams is not null").select("hash", "grams")
     links = _similar_links(buckets.where("key is not null"), contents)
     comps = connected_components(links, "repeat").withColumnsRenamed({"node": "hash", "component": "comp"})
     repeated = buckets.where("key is null").select("hash").distinct()
