@@ -41,8 +41,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def use_small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches for texts of any length."""
+    """Bound the memory that texts of any length take: small Arrow batches, and Parquet pages in zstd.
+
+    Snappy pages are unpacked into buffers outside the heap that are only given back when the
+    heap is collected, which a task that hands texts to Python hardly ever causes.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

@@ -38,6 +38,8 @@ ENOUGH = 4
 LEAST_WEIGHT = 2.0
 LEAST_Z = 4.5
 LEAST_TEXTS = 4
+#: Patterns that a task counts before it passes them on.
+COUNTED_AT_ONCE = 100_000
 #: Lengths of word beginnings that can be patterns.
 BEGINNINGS = range(4, 9)
 THRESHOLD = 0.3
@@ -191,18 +193,28 @@ class Model:
 
 
 def _pattern_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pattern, toxic texts, clean texts) of each batch; a beginning ends in *."""
-    for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {t for t in _TOKEN.findall(text.lower()) if t not in _ENDS}
-            counts[label].update(words | {w[:k] + "*" for w in words for k in BEGINNINGS if k <= len(w)})
+    """Rows (pattern, toxic texts, clean texts), counted over some texts at a time; a beginning ends in *."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def settle() -> pa.RecordBatch:
         clean, toxic = counts
         patterns = list(clean.keys() | toxic.keys())
-        yield pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [pa.array(patterns, pa.string()), pa.array([toxic[p] for p in patterns], pa.int64()), pa.array([clean[p] for p in patterns], pa.int64())],
             names=["pattern", "toxic", "clean"],
         )
+        clean.clear()
+        toxic.clear()
+        return out
+
+    for batch in batches:
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = {t for t in _TOKEN.findall(text.lower()) if t not in _ENDS}
+            counts[label].update(words | {w[:k] + "*" for w in words for k in BEGINNINGS if k <= len(w)})
+            if sum(map(len, counts)) > COUNTED_AT_ONCE:
+                yield settle()
+    if any(counts):
+        yield settle()
 
 
 def specific(rows: list[tuple[str, int]]) -> list[str]:
