@@ -1 +1,251 @@
-def register(catalog): pass
+"""Generation, learning rounds, ledgers and watch lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spindrift.catalog import Catalog
+from spindrift.catalog.reports import FIELDS, FORMULAS, RESULTS, formulas, results
+from spindrift.functions.numeric import steady_round as rnd
+from spindrift.operators import feedback as fb
+from spindrift.operators import ledgers as led
+from spindrift.operators import metrics as m
+from spindrift.operators import search as s
+from spindrift.operators.gates import sorted_fields, typed_gate
+from spindrift.plans.compiler import evaluate
+from spindrift.sources.panels import minute_panel, table
+
+AVAILABLE = ["open", "high", "low", "close", "volume", "amount", "vwap", "pct_chg", "ctx_sent_up", "ctx_zls_strong", "evt_uplimit_active", "limit_up_streak", "m1_first5_amount", "m1_first5_range", "m1_first15_vwap", "code", "trade_time"]
+COLUMNS = "expression_hash string, expression string, lane string, note string, fields string, policy_score double, generator_arm string"
+
+
+def _generator(spark, sf_dir):
+    memory = spark.createDataFrame([("nothing",)], "expression_hash string")
+    return s.Generator(spark, AVAILABLE, fb.ucb_policy(results(spark, sf_dir)), memory)
+
+
+def _arm(name: str, limit: int = 40):
+    def run(spark, sf_dir):
+        rows = _generator(spark, sf_dir).arm(name, limit)
+        return spark.createDataFrame([tuple(r[c.split()[0]] for c in COLUMNS.split(", ")) for r in rows], COLUMNS)
+
+    return run
+
+
+def measure(panel, horizons=(1, 5)):
+    """Measures candidates on a panel: metrics by formula and horizon, and how alike the formulas' ranks are."""
+
+    def run(rows: list[dict]):
+        named = {f"f{k}": r["expression"] for k, r in enumerate(rows)}
+        wide = evaluate(panel, named)
+        wide = wide.withColumns({f"__r{h}": m.forward_return(wide, h) for h in horizons})
+        pairs = [F.struct(F.lit(rows[k]["expression_hash"]).alias("expression_hash"), F.col(f"f{k}").alias("signal"), F.lit(h).alias("horizon"), F.col(f"__r{h}").alias("label")) for k in range(len(rows)) for h in horizons]
+        by = ["expression_hash", "horizon"]
+        long = wide.select("code", "trade_time", F.inline(F.array(*pairs)))
+        ranked = long.withColumns({"signal_rank": m.section_rank("signal", [*by, "trade_time"]), "label_rank": m.section_rank("label", [*by, "trade_time"])})
+        ic = m.ic_summary(m.section_ics(ranked, by, "trade_time"), by)
+        metrics = ic.select(*by, F.col("ic_mean").alias("aligned_ic_mean"), F.lit(0.5).alias("mean_one_way_turnover"), F.lit("").alias("blocker_flags"))
+        renamed = {f"f{k}": rows[k]["expression_hash"] for k in range(len(rows))}
+        alike = m.pairwise_correlation(wide, list(renamed))
+        mapped = F.create_map(*[F.lit(x) for kv in renamed.items() for x in kv])
+        return metrics, alike.select(mapped[F.col("left")].alias("left"), mapped[F.col("right")].alias("right"), "signal_rank_corr")
+
+    return run
+
+
+EVALS = f"""ev as (select position, lane, 'src' || (position % 3) as source, 'cell' || (position % 11) as cell, array_to_string(list_sort(list_distinct(regexp_extract_all(expression, {FIELDS}, 1))), '|') as fields, decision = 'bp_followup_priority' as passed, aligned_ic_mean as mean_ic from rs)"""
+
+
+def register(catalog: Catalog) -> None:
+    @catalog.query("atoms")
+    def atoms(spark, sf_dir):
+        return s.atom_table(spark, AVAILABLE)
+
+    for name in ("rx_ucb", "event_state", "turnover_aware", "cem_elite", "hybrid"):
+        catalog.add({"rx_ucb": "gen_rx_ucb", "event_state": "gen_event_state", "turnover_aware": "gen_turnover", "cem_elite": "gen_cem", "hybrid": "gen_hybrid"}[name], _arm(name))
+
+    @catalog.query("loop_adaptive")
+    def loop_adaptive(spark, sf_dir):
+        panel = minute_panel(spark, sf_dir).select("code", "trade_time", "date", "open", "high", "low", "close", "volume", "amount").cache()
+        memory = spark.createDataFrame([("nothing",)], "expression_hash string")
+        policy = fb.ucb_policy(results(spark, sf_dir))
+        rounds = s.adaptive_rounds(spark, ["open", "high", "low", "close", "volume", "amount"], policy, memory, measure(panel), ["rx_ucb", "cem_elite"], limit=8, least=2)
+        return spark.createDataFrame(rounds, "round int, arm string, candidates int, followups long, best_abs_ic double")
+
+    @catalog.query("atom_inventory")
+    def atom_inventory(spark, sf_dir):
+        a = s.atom_table(spark, AVAILABLE)
+        gated = typed_gate(a.select(F.concat(F.lit("CSRank("), s.normalized(), F.lit(")")).alias("expression"), "lane", "role"))
+        return gated.groupBy("role", "lane", "typed_gate_decision").agg(F.count("*").alias("atoms"))
+
+    @catalog.query(
+        "replay_objective",
+        f"""with {RESULTS}, {EVALS}, k as (select 'lane' as "group", lane as key, passed, mean_ic from ev union all select 'source', source, passed, mean_ic from ev union all select 'cell', cell, passed, mean_ic from ev union all select 'field', unnest(string_split(fields, '|')), passed, mean_ic from ev),
+        a as (select "group", key, count(*) as evaluations, avg(case when passed then 1.0 else 0.0 end) as p, avg(mean_ic) as mi from k group by 1, 2)
+        select "group", key, evaluations, round(p, 6) as pass_rate, round(mi, 6) as mean_ic, case when evaluations >= 3 and p >= 0.5 and mi > 0 then 'watched' when evaluations >= 3 and p = 0 then 'demoted' else 'neutral' end as status from a""",
+    )
+    def replay_objective(spark, sf_dir):
+        r = results(spark, sf_dir)
+        text = lambda start, n: F.concat(F.lit(start), (F.col("position") % n).cast("string"))
+        ev = r.select("lane", text("src", 3).alias("source"), text("cell", 11).alias("cell"), F.array_join(sorted_fields(F.col("expression")), "|").alias("fields"), (F.col("decision") == "bp_followup_priority").alias("passed"), F.col("aligned_ic_mean").alias("mean_ic"))
+        return led.replay_objective(ev).withColumns({"pass_rate": rnd(F.col("pass_rate")), "mean_ic": rnd(F.col("mean_ic"))})
+
+    @catalog.query(
+        "round_metrics",
+        f"""with {RESULTS}, a as (select count(*) as candidates, count(*) filter (blocker_flags = '' and abs_aligned_ic_mean >= 0.02) / count(*)::double as rs_, count(*) filter (not contains(blocker_flags, 'future_signal_wrong_lag')) / count(*)::double as nf, count(distinct lane) / count(*)::double as ld, count(distinct expression) / count(*)::double as sd from rs)
+        select candidates, round(rs_, 6) as research_share, round(nf, 6) as non_future_share, round(ld, 6) as lane_diversity, round(sd, 6) as shape_diversity, round(0.4::double * rs_ + 0.3::double * nf + 0.15::double * ld + 0.15::double * sd, 6) as round_score from a""",
+    )
+    def round_metrics(spark, sf_dir):
+        out = led.round_metrics(results(spark, sf_dir))
+        return out.select("candidates", *[rnd(F.col(c)).alias(c) for c in out.columns if c != "candidates"])
+
+    present = ["close", "volume", "amount"]
+
+    @catalog.query(
+        "pack_preflight",
+        f"""with {RESULTS}, x as (select lane, expression, unnest(list_distinct(regexp_extract_all(expression, {FIELDS}, 1))) as field from rs)
+        select field, string_agg(distinct lane, '|' order by lane) as lanes, count(distinct expression) as formulas, field in ('close', 'volume', 'amount') as present from x group by field""",
+    )
+    def pack_preflight(spark, sf_dir):
+        return led.pack_preflight(results(spark, sf_dir).select("lane", "expression", sorted_fields(F.col("expression")).alias("fields")), present)
+
+    state = "fs as (select 'f' || c_custkey as field, c_custkey % 2 = 0 as has_asset, case when c_custkey % 9 = 1 then null else c_custkey % 3 != 0 end as in_panel, c_custkey % 5 < 3 as in_pack, c_custkey % 7 < 2 as selected, c_custkey % 4 = 1 as event_like from customer)"
+
+    @catalog.query(
+        "integration_priority",
+        f"""with {state} select field, case when not coalesce(has_asset, false) then 'missing_asset' when not coalesce(in_panel, false) then 'not_in_panel' when not in_pack then 'not_in_pack' when not selected then 'not_selected' else 'integrated' end as status,
+        (case when has_asset then 30 else 0 end + case when coalesce(in_panel, false) then 20 else 0 end + case when in_pack then 10 else 0 end + case when selected then -40 else 0 end + case when event_like then 15 else 0 end) as priority from fs""",
+    )
+    def integration_priority(spark, sf_dir):
+        k = F.col("c_custkey")
+        fields = table(spark, sf_dir, "customer").select(
+            F.concat(F.lit("f"), k.cast("string")).alias("field"), (k % 2 == 0).alias("has_asset"), F.when(k % 9 != 1, k % 3 != 0).alias("in_panel"), (k % 5 < 3).alias("in_pack"), (k % 7 < 2).alias("selected"), (k % 4 == 1).alias("event_like")
+        )
+        return led.integration_priority(fields).select("field", "status", "priority")
+
+    memory = "me as (select c_custkey as candidate_id, 'k' || (c_custkey % 90) as expression_key, 'rule' || (c_custkey % 6) as rule, c_custkey % 4 = 1 as retained, round(c_acctbal / 10000, 6) as reward, case c_custkey % 3 when 0 then 'stock' when 1 then 'sector' end as dataset_role from customer)"
+
+    def _memory(spark, sf_dir):
+        k = F.col("c_custkey")
+        text = lambda start, n: F.concat(F.lit(start), (k % n).cast("string"))
+        return table(spark, sf_dir, "customer").select(
+            k.alias("candidate_id"), text("k", 90).alias("expression_key"), text("rule", 6).alias("rule"), (k % 4 == 1).alias("retained"), rnd(F.col("c_acctbal") / 10000).alias("reward"), F.when(k % 3 == 0, "stock").when(k % 3 == 1, "sector").alias("dataset_role")
+        )
+
+    @catalog.query("memory_stats", f"with {memory} select rule, count(*) as records, round(avg(case when retained then 1.0 else 0.0 end), 6) as retained_yield, round(avg(reward), 6) as mean_reward from me group by 1")
+    def memory_stats(spark, sf_dir):
+        return led.memory_stats(_memory(spark, sf_dir)).withColumns({"retained_yield": rnd(F.col("retained_yield")), "mean_reward": rnd(F.col("mean_reward"))})
+
+    @catalog.query("memory_role_filter", f"with {memory} select candidate_id, case when dataset_role is not distinct from 'stock' then 'kept' else 'quarantined' end as memory_state from me")
+    def memory_role_filter(spark, sf_dir):
+        return led.memory_of_role(_memory(spark, sf_dir), "stock").select("candidate_id", "memory_state")
+
+    @catalog.query(
+        "memory_enrich",
+        f"""with {memory}, rp as (select s_suppkey * 11 as candidate_id, 'k' || (s_suppkey % 40) as expression_key, round(s_acctbal / 1000, 6) as replay_reward from supplier), bk as (select expression_key, max(replay_reward) as b from rp group by 1)
+        select m.candidate_id, coalesce(r.replay_reward, b.b) as replay_reward, case when r.replay_reward is not null then 'candidate_id' when b.b is not null then 'expression_key' end as matched_by from me m left join rp r on m.candidate_id = r.candidate_id left join bk b on m.expression_key = b.expression_key""",
+    )
+    def memory_enrich(spark, sf_dir):
+        k = F.col("s_suppkey")
+        replays = table(spark, sf_dir, "supplier").select((k * 11).alias("candidate_id"), F.concat(F.lit("k"), (k % 40).cast("string")).alias("expression_key"), rnd(F.col("s_acctbal") / 1000).alias("replay_reward"))
+        return led.enrich_memory(_memory(spark, sf_dir), replays).select("candidate_id", "replay_reward", "matched_by")
+
+    @catalog.query(
+        "replay_reward",
+        f"with {RESULTS} select position, round(greatest(least(4.0::double * coalesce(aligned_ic_mean, 0) + 0.3::double * (spread_hit_rate - 0.5) - 0.5::double * greatest(mean_one_way_turnover - 0.5, 0), 1.0), -1.0), 6) as reward from rs",
+    )
+    def replay_reward(spark, sf_dir):
+        r = results(spark, sf_dir).select("position", F.col("aligned_ic_mean").alias("mean_ic"), F.col("spread_hit_rate").alias("hit_rate"), F.col("mean_one_way_turnover").alias("turnover"))
+        return r.select("position", rnd(led.replay_reward()).alias("reward"))
+
+    @catalog.query(
+        "smoke_flags",
+        """with w as (select 'c' || (c_custkey % 60) as candidate, 1990 + c_custkey // 60 as "window", case when c_custkey % 17 = 2 then null else (c_acctbal - 3500) / 90000 end as mean_rank_ic from customer),
+        r as (select *, row_number() over (partition by candidate order by "window" desc) <= 4 as recent from w),
+        a as (select candidate, count(mean_rank_ic) as windows, avg(mean_rank_ic) as mi, avg(case when recent then mean_rank_ic end) as ri, avg(case when mean_rank_ic is not null then case when mean_rank_ic > 0 then 1.0 else 0.0 end end) as pr from r group by 1)
+        select candidate, windows, round(mi, 6) as mean_ic, round(ri, 6) as recent_ic, round(pr, 6) as positive_ratio, concat_ws('|', case when mi is null or mi < 0.01 then 'weak_mean_ic' end, case when ri is null or ri <= 0 then 'recent_ic_not_positive' end, case when coalesce(pr, 0) < 0.5 then 'few_positive_windows' end, case when windows < 4 then 'few_windows' end) as flags,
+        case when mi >= 0.01 then 'review' when mi > 0 then 'watch' else 'reject' end as decision from a""",
+    )
+    def smoke_flags(spark, sf_dir):
+        k = F.col("c_custkey")
+        windows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), (k % 60).cast("string")).alias("candidate"), (F.lit(1990) + F.floor(k / 60)).alias("window"), F.when(k % 17 != 2, (F.col("c_acctbal") - 3500) / 90000).alias("mean_rank_ic"))
+        out = led.smoke_flags(windows)
+        return out.withColumns({c: rnd(F.col(c)) for c in ("mean_ic", "recent_ic", "positive_ratio")})
+
+    groups = [("limit", "limit"), ("context", "ctx_"), ("price", "close"), ("price", "open"), ("flow", "amount")]
+    listed = ", ".join(f"('{a}', '{b}')" for a, b in groups)
+
+    @catalog.query("watchlist_groups", f"with {FORMULAS}, x as (select distinct unnest(regexp_extract_all(expression, {FIELDS}, 1)) as field from fm), gr(g, p) as (values {listed}) select distinct g as \"group\", field from x, gr where contains(field, p)")
+    def watchlist_groups(spark, sf_dir):
+        fields = formulas(spark).select(F.explode(sorted_fields(F.col("expression"))).alias("field")).distinct().withColumn("haystack", F.col("field"))
+        return led.watch_groups(fields, spark.createDataFrame(groups, "group string, pattern string"))
+
+    family = {"streak": "_streak_ge_|_streak", "window_count": "_count_t|_in_t", "market_high_board": "high_board", "limit_open": "open", "limit_touch": "touch", "limit_break": "break|repair|rebound", "limit_flip": "flip", "limit_close": "limit"}
+    family_sql = lambda c: "case " + " ".join(f"when regexp_matches({c}, '{p}') then '{n}'" for n, p in family.items()) + " else 'unknown' end"
+    event_names = ["limit_up_streak_ge_3", "limit_up_close_count_t5", "market_high_board", "limit_up_open_event", "limit_down_touch_event", "limit_up_break", "limit_down_repair", "limit_flip_up_to_down", "limit_up_event", "whatever", "limit_up_any_open_not_close_in_t4"]
+    listed_events = ", ".join(f"('{n}')" for n in event_names)
+
+    @catalog.query("event_spec", f"with v(f) as (values {listed_events}) select f as field, {family_sql('f')} as family from v")
+    def event_spec(spark, sf_dir):
+        return spark.createDataFrame([(n,) for n in event_names], "field string").select("field", led.event_family(F.col("field")).alias("family"))
+
+    @catalog.query(
+        "event_metadata",
+        f"""with {FORMULAS}, x as (select expression, unnest(list_distinct(regexp_extract_all(expression, {FIELDS}, 1))) as f from fm), y as (select *, {family_sql("f")} as family, case when contains(f, 'open') then 'open_print' else 'after_close' end as clock from x where contains(f, 'limit') or contains(f, 'board'))
+        select expression, string_agg(distinct family, '|' order by family) as families, string_agg(distinct clock, '|' order by clock) as clocks, count(*) as event_fields from y group by 1""",
+    )
+    def event_metadata(spark, sf_dir):
+        f = formulas(spark).select("expression", sorted_fields(F.col("expression")).alias("fields"))
+        names = f.select(F.explode("fields").alias("field")).distinct().where("contains(field, 'limit') or contains(field, 'board')")
+        specs = names.select("field", led.event_family(F.col("field")).alias("family"), F.when(F.contains("field", F.lit("open")), "open_print").otherwise("after_close").alias("clock"))
+        return led.event_metadata(f, specs)
+
+    vec = "pv as (select s_suppkey as k, 'f' || s_suppkey as field, [(s_suppkey % 3)::double, (s_suppkey % 5)::double, (s_suppkey % 2)::double, 1.0::double, (s_suppkey % 7)::double] as v from supplier where s_suppkey < 60)"
+
+    def _profiles(spark, sf_dir):
+        k = F.col("s_suppkey")
+        vector = F.array(*[(k % n).cast("double") for n in (3, 5, 2)], F.lit(1.0), (k % 7).cast("double"))
+        return table(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("f"), k.cast("string")).alias("field"), vector.alias("vector"))
+
+    @catalog.query("field_redundancy", f"with {vec}, c as (select a.field as left_field, b.field as right_field, list_cosine_similarity(a.v, b.v) as cosine from pv a join pv b on a.field < b.field) select left_field, right_field, round(cosine, 6) as cosine from c where cosine >= 0.92 - 1e-12")
+    def field_redundancy(spark, sf_dir):
+        return led.redundant_fields(_profiles(spark, sf_dir), 0.92 - 1e-12)
+
+    @catalog.query(
+        "expr_profile",
+        f"""with {vec}, ex as (select 'e' || (k % 8) as expression, v from pv), d as (select expression, unnest(v) as x, generate_subscripts(v, 1) - 1 as dim from ex) select expression, cast(dim as integer) as dim, round(avg(x), 6) as value from d group by 1, 2""",
+    )
+    def expr_profile(spark, sf_dir):
+        p = _profiles(spark, sf_dir)
+        number = F.substring("field", 2, 9).cast("int")
+        f = p.groupBy(F.concat(F.lit("e"), (number % 8).cast("string")).alias("expression")).agg(F.collect_set("field").alias("fields"))
+        return led.expression_profile(f, p).withColumn("value", rnd(F.col("value")))
+
+    @catalog.query(
+        "candidate_schema",
+        f"""with {RESULTS}, a as (select position, lane as factor_lane, array_to_string(list_sort(list_distinct(regexp_extract_all(expression, {FIELDS}, 1))), '|') as fields, case when horizon <= 5 then 'short' when horizon <= 15 then 'medium' else 'long' end as hb,
+          case when mean_one_way_turnover is null then 'unknown' when mean_one_way_turnover <= 0.35 then 'low' when mean_one_way_turnover <= 0.75 then 'medium' else 'high' end as tb from rs)
+        select position, 'unknown' as generator_arm, tb as turnover_bucket, hb as horizon_bucket, substr(sha256(factor_lane || '|' || fields || '|' || hb), 1, 18) as family_id, substr(sha256(factor_lane || '|' || tb), 1, 18) as motif_id from a""",
+    )
+    def candidate_schema(spark, sf_dir):
+        r = results(spark, sf_dir).select("position", F.col("lane").alias("factor_lane"), F.array_join(sorted_fields(F.col("expression")), "|").alias("fields"), "horizon", "mean_one_way_turnover", F.lit("").alias("generator_arm"))
+        return led.schema_defaults(r).select("position", "generator_arm", "turnover_bucket", "horizon_bucket", "family_id", "motif_id")
+
+    @catalog.query("registry_routes", f"with {FORMULAS}, x as (select distinct unnest(regexp_extract_all(expression, {FIELDS}, 1)) as field from fm) select field, case when contains(field, 'limit') or contains(field, 'seal') then 'typed_event' when starts_with(field, 'ctx_') or starts_with(field, 'fund_') then 'coverage_guard' when regexp_matches(field, 'code|time|label|next_') then 'blocked' else 'ordinary' end as route from x")
+    def registry_routes(spark, sf_dir):
+        f = formulas(spark).select(F.explode(sorted_fields(F.col("expression"))).alias("field")).distinct()
+        c = F.col("field")
+        has = lambda w: F.contains(c, F.lit(w))
+        route = F.when(has("limit") | has("seal"), "typed_event").when(c.startswith("ctx_") | c.startswith("fund_"), "coverage_guard").when(c.rlike("code|time|label|next_"), "blocked").otherwise("ordinary")
+        return f.select("field", route.alias("route"))
+
+    @catalog.query("incremental_checkpoint")
+    def incremental_checkpoint(spark, sf_dir):
+        import uuid
+
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spindrift-{uuid.uuid4().hex}"
+        path = f"{folder.rstrip('/')}/reward-{uuid.uuid4().hex}"
+        batch = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+        led.append_checkpoint(batch.where("s_suppkey < 6"), path, ["s_suppkey"])
+        return led.append_checkpoint(batch.where("s_suppkey < 9"), path, ["s_suppkey"])
+
