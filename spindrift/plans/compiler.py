@@ -155,7 +155,8 @@ class Compiler:
             if distinct:
                 enough &= F.size(F.collect_set(v).over(self.section)) >= distinct
                 enough &= F.count(u).over(self.section) >= ratio * F.count(F.lit(1)).over(self.section)
-            return F.when(both & enough, u - F.avg(u).over(self.section) - slope * (v - F.avg(v).over(self.section)))
+            start = F.avg(u).over(self.section) - slope * F.avg(v).over(self.section)
+            return F.when(both & enough, u - (start + slope * v))
 
         return self.step(("residual", y, x, least, distinct, ratio), SECTION, (y, x), build)
 
