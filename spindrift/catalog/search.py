@@ -33,21 +33,24 @@ def _arm(name: str, limit: int = 40):
 
 
 def measure(panel, horizons=(1, 5)):
-    """Measures candidates on a panel: metrics by formula and horizon, and how alike the formulas' ranks are."""
+    """Measures candidates on a panel: metrics by formula and horizon, and how alike the formulas' ranks are.
+
+    Ranks stay wide, one column a formula: all formulas share the exchange to cross-sections,
+    and labels are ranked once for all of them. Only the ranks go long, into sums.
+    """
 
     def run(rows: list[dict]):
-        named = {f"f{k}": r["expression"] for k, r in enumerate(rows)}
-        wide = evaluate(panel, named)
-        wide = wide.withColumns({f"__r{h}": m.forward_return(wide, h) for h in horizons})
-        pairs = [F.struct(F.lit(rows[k]["expression_hash"]).alias("expression_hash"), F.col(f"f{k}").alias("signal"), F.lit(h).alias("horizon"), F.col(f"__r{h}").alias("label")) for k in range(len(rows)) for h in horizons]
+        names = [f"f{k}" for k in range(len(rows))]
+        hash_of = {n: r["expression_hash"] for n, r in zip(names, rows, strict=True)}
+        labelled = panel.withColumns({f"__r{h}": m.forward_return(panel, h) for h in horizons})
+        wide = evaluate(labelled, {n: f"CSRank({r['expression']})" for n, r in zip(names, rows, strict=True)} | {f"__l{h}": f"CSRank($__r{h})" for h in horizons})
+        wide = wide.select("trade_time", *names, *[f"__l{h}" for h in horizons]).persist()
         by = ["expression_hash", "horizon"]
-        long = wide.select("code", "trade_time", F.inline(F.array(*pairs)))
-        ranked = long.withColumns({"signal_rank": m.section_rank("signal", [*by, "trade_time"]), "label_rank": m.section_rank("label", [*by, "trade_time"])})
-        ic = m.ic_summary(m.section_ics(ranked, by, "trade_time"), by)
+        pairs = [F.struct(F.lit(hash_of[n]).alias("expression_hash"), F.lit(h).alias("horizon"), F.col(n).alias("signal_rank"), F.col(f"__l{h}").alias("label_rank")) for n in names for h in horizons]
+        ic = m.ic_summary(m.section_ics(wide.select("trade_time", F.inline(F.array(*pairs))), by, "trade_time"), by)
         metrics = ic.select(*by, F.col("ic_mean").alias("aligned_ic_mean"), F.lit(0.5).alias("mean_one_way_turnover"), F.lit("").alias("blocker_flags"))
-        renamed = {f"f{k}": rows[k]["expression_hash"] for k in range(len(rows))}
-        alike = m.pairwise_correlation(wide, list(renamed))
-        mapped = F.create_map(*[F.lit(x) for kv in renamed.items() for x in kv])
+        alike = m.pairwise_correlation(wide, names)
+        mapped = F.create_map(*[F.lit(x) for kv in hash_of.items() for x in kv])
         return metrics, alike.select(mapped[F.col("left")].alias("left"), mapped[F.col("right")].alias("right"), "signal_rank_corr")
 
     return run

@@ -31,8 +31,10 @@ def forward_return(panel: DataFrame, rows: int, wait: int = 0, order=None) -> Co
 
 def section_rank(value: str, section: list[str]) -> Column:
     """Average rank within a section, divided by the number of values."""
-    group, ties = Window.partitionBy(*section), Window.partitionBy(*section, value)
-    average = F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) + (F.count(value).over(ties) - 1) / F.lit(2.0)
+    group = Window.partitionBy(*section)
+    ordered = group.orderBy(F.col(value).asc_nulls_last())
+    ties = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+    average = F.rank().over(ordered) + (F.count(value).over(ties) - 1) / F.lit(2.0)
     return F.when(F.col(value).isNotNull(), average / F.count(value).over(group))
 
 

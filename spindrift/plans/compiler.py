@@ -116,8 +116,8 @@ class Compiler:
 
     def section_rank(self, of: str) -> str:
         """Average rank of a value among the values of its cross-section, divided by their number."""
-        ties = Window.partitionBy(self.keys.section, F.col(of))
         ordered = self.section.orderBy(F.col(of).asc_nulls_last())
+        ties = ordered.rangeBetween(Window.currentRow, Window.currentRow)  # rows of the same value; the rank's own order serves
 
         def build(c: Column) -> Column:
             average = F.rank().over(ordered) + (F.count(c).over(ties) - 1) / F.lit(2.0)
