@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.catalog import Catalog
+from spindrift.catalog import Catalog, load
 from spindrift.catalog.reports import FIELDS, FORMULAS, RESULTS, formulas, results
 from spindrift.functions.numeric import steady_round as rnd
 from spindrift.operators import feedback as fb
@@ -13,6 +13,7 @@ from spindrift.operators import metrics as m
 from spindrift.operators import search as s
 from spindrift.operators.gates import sorted_fields, typed_gate
 from spindrift.plans.compiler import evaluate
+from spindrift.session import shared_folder
 from spindrift.sources.panels import minute_panel, table
 
 AVAILABLE = ["open", "high", "low", "close", "volume", "amount", "vwap", "pct_chg", "ctx_sent_up", "ctx_zls_strong", "evt_uplimit_active", "limit_up_streak", "m1_first5_amount", "m1_first5_range", "m1_first15_vwap", "code", "trade_time"]
@@ -181,7 +182,7 @@ def register(catalog: Catalog) -> None:
     @catalog.query("watchlist_groups", f"with {FORMULAS}, x as (select distinct unnest(regexp_extract_all(expression, {FIELDS}, 1)) as field from fm), gr(g, p) as (values {listed}) select distinct g as \"group\", field from x, gr where contains(field, p)")
     def watchlist_groups(spark, sf_dir):
         fields = formulas(spark).select(F.explode(sorted_fields(F.col("expression"))).alias("field")).distinct().withColumn("haystack", F.col("field"))
-        return led.watch_groups(fields, spark.createDataFrame(groups, "group string, pattern string"))
+        return led.watch_groups(fields, groups)
 
     family = {"streak": "_streak_ge_|_streak", "window_count": "_count_t|_in_t", "market_high_board": "high_board", "limit_open": "open", "limit_touch": "touch", "limit_break": "break|repair|rebound", "limit_flip": "flip", "limit_close": "limit"}
     family_sql = lambda c: "case " + " ".join(f"when regexp_matches({c}, '{p}') then '{n}'" for n, p in family.items()) + " else 'unknown' end"
@@ -242,13 +243,52 @@ def register(catalog: Catalog) -> None:
         route = F.when(has("limit") | has("seal"), "typed_event").when(c.startswith("ctx_") | c.startswith("fund_"), "coverage_guard").when(c.rlike("code|time|label|next_"), "blocked").otherwise("ordinary")
         return f.select("field", route.alias("route"))
 
+    aliases = [("limits", "limit"), ("limits", "limit_up"), ("price", "close"), ("turnover", "turnover_ratio"), ("context", "ctx"), ("strong", "zls_strong")]
+    listed_aliases = ", ".join(f"('{a}', '{b}')" for a, b in aliases)
+    norm = lambda c: f"'|' || array_to_string(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w != ''), '|') || '|'"
+
+    @catalog.query(
+        "alias_match",
+        f"""with {FORMULAS}, x as (select distinct unnest(regexp_extract_all(expression, {FIELDS}, 1)) as field from fm), al(asset, alias) as (values {listed_aliases}),
+        m as (select field, asset, alias, case when lower(field) = alias then 'equal' when contains({norm("field")}, {norm("alias")}) then case when contains(alias, '_') then 'sequence' else 'token' end end as how from x, al) select * from m where how is not null""",
+    )
+    def alias_match(spark, sf_dir):
+        fields = formulas(spark).select(F.explode(sorted_fields(F.col("expression"))).alias("field")).distinct()
+        return led.match_aliases(fields, aliases)
+
+    @catalog.query(
+        "pool_enrich",
+        """with p as (select 'h' || c_custkey as expression_hash, c_mktsegment as bucket, round(c_acctbal, 2) as quality from customer where c_custkey % 10 = 0), ad as (select 'h' || c_custkey as expression_hash, c_mktsegment as bucket, round(c_acctbal, 2) as quality from customer where c_custkey % 2 = 0),
+        me as (select 'h' || s_suppkey * 4 as expression_hash from supplier), n as (select * from ad where expression_hash not in (select expression_hash from p) and expression_hash not in (select expression_hash from me)),
+        r as (select *, row_number() over (partition by bucket order by quality desc, expression_hash) as i from n) select expression_hash, bucket, quality from p union all select expression_hash, bucket, quality from r where i <= case bucket when 'BUILDING' then 5 when 'MACHINERY' then 9 else 12 end""",
+    )
+    def pool_enrich(spark, sf_dir):
+        c = table(spark, sf_dir, "customer")
+        rows = c.select("c_custkey", F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("expression_hash"), F.col("c_mktsegment").alias("bucket"), rnd(F.col("c_acctbal"), 2).alias("quality"))
+        memory = table(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), (F.col("s_suppkey") * 4).cast("string")).alias("expression_hash"))
+        return led.enrich_pool(rows.where("c_custkey % 10 = 0").drop("c_custkey"), rows.where("c_custkey % 2 = 0").drop("c_custkey"), memory, {"BUILDING": 5, "MACHINERY": 9}, 12)
+
+    @catalog.query("gen_templates")
+    def gen_templates(spark, sf_dir):
+        return typed_gate(s.templates(spark, AVAILABLE)).select("expression", "lane", "note", "typed_gate_decision")
+
+    @catalog.query("lifecycle_audit")
+    def lifecycle_audit(spark, sf_dir):
+        own = load().queries
+        found = led.lifecycle_audit(own["field_coverage"](spark, sf_dir), own["field_usage"](spark, sf_dir), ["gappy", "trade_time"], 2, ["event_state", "lagged_context", "direct_formula"])
+        return spark.createDataFrame([("|".join(found["blockers"]), found["decision"])], "blockers string, decision string")
+
+    @catalog.query("bx_audit")
+    def bx_audit(spark, sf_dir):
+        r = results(spark, sf_dir)
+        cells = r.select("expression_hash", F.concat_ws("-", "position", "horizon").alias("cell"), F.col("aligned_spread_mean").alias("spread"), F.coalesce("aligned_ic_mean", F.lit(0.0)).alias("ic"), F.contains("blocker_flags", F.lit("wrong_lag")).alias("lagged"))
+        return led.proxy_audit(cells, ["expression_hash"], iterations=100)
+
     @catalog.query("incremental_checkpoint")
     def incremental_checkpoint(spark, sf_dir):
         import uuid
 
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spindrift-{uuid.uuid4().hex}"
-        path = f"{folder.rstrip('/')}/reward-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/reward-{uuid.uuid4().hex}"
         batch = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
         led.append_checkpoint(batch.where("s_suppkey < 6"), path, ["s_suppkey"])
         return led.append_checkpoint(batch.where("s_suppkey < 9"), path, ["s_suppkey"])
-

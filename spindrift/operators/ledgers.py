@@ -101,9 +101,100 @@ def smoke_flags(windows: DataFrame, recent: int = 4, key: str = "candidate") ->
     return out.withColumns({"flags": F.concat_ws("|", *against), "decision": decision})
 
 
-def watch_groups(fields: DataFrame, groups: DataFrame) -> DataFrame:
-    """Fields whose text holds a watch group's pattern. Groups are a short fixed list."""
-    return fields.join(F.broadcast(groups.limit(1000)), F.contains("haystack", F.col("pattern"))).select("group", "field").distinct()
+def watch_groups(fields: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
+    """Fields whose text holds the pattern of a watch group, given as (group, pattern)."""
+    met = F.array_compact(F.array(*[F.when(F.contains("haystack", F.lit(p)), F.lit(g)) for g, p in groups]))
+    return fields.select(F.explode(F.array_distinct(met)).alias("group"), "field").distinct()
+
+
+def match_aliases(fields: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
+    """Raw field names and the (asset, alias) they go by: equal, one of their words, or successive words of them."""
+    words = lambda c: F.array_join(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), "|")
+    own = F.concat(F.lit("|"), words(F.col("field")), F.lit("|"))
+    tests = []
+    for asset, alias in aliases:
+        inner = F.concat(F.lit("|"), words(F.lit(alias)), F.lit("|"))
+        how = F.when(F.lower("field") == alias.lower(), "equal").when(F.contains(own, inner), F.when(F.lit("_" in alias), "sequence").otherwise("token"))
+        tests.append(F.when(how.isNotNull(), F.struct(F.lit(asset).alias("asset"), F.lit(alias).alias("alias"), how.alias("how"))))
+    return fields.select("field", F.inline(F.array_compact(F.array(*tests)))).distinct()
+
+
+def enrich_pool(pool: DataFrame, additions: DataFrame, memory: DataFrame, caps: dict[str, int], otherwise: int) -> DataFrame:
+    """The pool and those additions that neither it nor memory has, the best of each bucket up to its cap."""
+    known = pool.select("expression_hash").unionByName(memory.select("expression_hash")).distinct()
+    new = additions.join(known, "expression_hash", "left_anti")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("quality"), "expression_hash"))
+    cap = F.lit(otherwise)
+    for bucket, n in caps.items():
+        cap = F.when(F.col("bucket") == bucket, n).otherwise(cap)
+    kept = new.dropDuplicates(["expression_hash"]).withColumn("__place", place).where(F.col("__place") <= cap).drop("__place")
+    return pool.unionByName(kept, allowMissingColumns=True)
+
+
+def bucket_budgets(total: int, event: float, research: float, fundamental: float) -> dict[str, int]:
+    """Shares within their limits, the rest dealt by fixed parts, in whole numbers that sum to the total."""
+    head = {"event": min(0.60, max(0.0, event)), "research": min(0.35, max(0.0, research)), "fundamental": min(0.25, max(0.0, fundamental))}
+    rest = max(0.0, 1.0 - sum(head.values()))
+    parts = {"price": 0.43, "flow": 0.21, "range": 0.20, "opening": 0.13, "other": 0.03}
+    shares = head | {k: rest * v for k, v in parts.items()}
+    scale = sum(shares.values()) or 1.0
+    from spindrift.operators.feedback import whole_budgets
+
+    return whole_budgets({k: v / scale for k, v in shares.items()}, total)
+
+
+def lifecycle_audit(coverage: DataFrame, usage: DataFrame, required: list[str], least_fields: int, lanes: list[str]) -> dict:
+    """Whether data and candidates fit together: blockers, and the decision they lead to.
+
+    coverage: rows (field, nonnull); usage: rows (field, lane, uses, effective).
+    """
+    there = {r["field"]: r["nonnull"] for r in coverage.groupBy("field").agg(F.sum("nonnull").alias("nonnull")).collect()}
+    used = {r["lane"]: r for r in usage.groupBy("lane").agg(F.sum("uses").alias("uses"), F.sum("effective").alias("effective")).collect()}
+    against = []
+    if len(there) < least_fields:
+        against.append("too_few_fields")
+    against += [f"missing_{k}" for k in required if not there.get(k)]
+    for lane in lanes:
+        row = used.get(lane)
+        against += [f"{lane}_unused"] if row is None or not row["uses"] else [f"{lane}_without_effect"] if not row["effective"] else []
+    return {"blockers": against, "decision": "READY" if not against else "HOLD"}
+
+
+def evidence_gate(present: dict[str, bool], measured: dict[str, float], least: dict[str, float]) -> dict:
+    """Whether required files are there and every measure reaches its least value."""
+    missing = sorted(k for k, v in present.items() if not v)
+    low = sorted(k for k, v in least.items() if measured.get(k, float("-inf")) < v)
+    return {"ready": not missing and not low, "missing": missing, "below": low}
+
+
+def feedback_allowed(clean: int, least: int, arm_override: bool | None, exploit_families: int, needs_exploit: bool) -> tuple[bool, str]:
+    """Whether feedback may change a searcher's policy, and why not."""
+    if arm_override is False:
+        return False, "arm_table_forbids"
+    if clean < least and not arm_override:
+        return False, "too_few_clean_rows"
+    if needs_exploit and exploit_families <= 0:
+        return False, "no_exploit_family"
+    return True, ""
+
+
+def proxy_audit(spreads: DataFrame, by: list[str], iterations: int = 400) -> DataFrame:
+    """Candidates by their sign-aligned spreads over shards and horizons: Sortino, resampled odds, and one of five decisions."""
+    from spindrift.functions.numeric import sortino_of_shortfall
+    from spindrift.operators.metrics import day_bootstrap
+
+    aligned = spreads.withColumn("value", F.col("spread") * F.signum(F.avg("ic").over(Window.partitionBy(*by))))
+    own = aligned.groupBy(*by).agg(F.count("value").alias("cells"), F.avg("value").alias("mean_value"), sortino_of_shortfall(F.col("value")).alias("sortino"), F.max(F.col("lagged").cast("int")).alias("lagged"))
+    odds = day_bootstrap(aligned.select(*by, "cell", "value"), by, iterations, value="value").select(*by, "prob_gt_0")
+    out = own.join(odds, by, "left")
+    decision = (
+        F.when(F.col("lagged") > 0, "reject_wrong_lag")
+        .when(F.col("cells") < 4, "hold_too_few_cells")
+        .when((F.col("mean_value") <= 0) | (F.coalesce("prob_gt_0", F.lit(0.0)) < 0.5), "reject_negative")
+        .when(F.coalesce("prob_gt_0", F.lit(0.0)) < 0.8, "watch_unstable")
+        .otherwise("followup")
+    )
+    return out.withColumn("decision", decision)
 
 
 def event_metadata(formulas: DataFrame, specs: DataFrame) -> DataFrame:

@@ -203,14 +203,37 @@ SIGNED = {**PRODUCTS, "signed_state": "CSRank(Mul(Sign({a}),{b}))"}
 RESAMPLED = {"elite_spread_mean3": "CSRank(Sub({a},Mean({b},3)))", "elite_delta_product": "CSRank(Mul(Delta({a},2),{b}))", "elite_inverted_product": "Neg(CSRank(Mul({a},{b})))"}
 
 
+#: Ready-made formulas over named fields, by family; {f}, {g} are fields.
+TEMPLATES = {
+    "opening": (("CSRank(ZScore(Delta({f},5)))", "CSRank(Sub(ZScore({f}),Mean(ZScore({f}),10)))", "CSRank(Corr({f},{g},15))", "Neg(CSRank(Std({f},10)))"), "direct_formula"),
+    "limit_motif": (("CSRank(EventCount({f},5))", "CSRank(EventAge({f}))", "CSRank(StateDwell({f},5))", "CSRank(WindowStateCount({f},10))"), "event_state"),
+    "typed_context": (("CSRank(MaskedZScore({f},60,0.8))", "CSRank(ValidRatioGate({f},60,0.8))", "CSRank(MaskedCorr({f},{g},60,0.8))"), "lagged_context"),
+    "low_turnover": (("CSRank(Mean(ZScore({f}),30))", "CSRank(Delay(Mean(ZScore({f}),20),5))", "CSRank(Sub(Mean({f},30),Delay(Mean({f},30),10)))"), "direct_formula"),
+}
+
+
+def templates(spark: SparkSession, available: Iterable[str]) -> DataFrame:
+    """Proposals from the templates, for the fields of each family's lane; {g} is the lane's next field."""
+    rows = []
+    for family, (texts, lane) in TEMPLATES.items():
+        own = sorted(f for f in available if lane_of(f) == lane)
+        for k, f in enumerate(own):
+            g = own[(k + 1) % len(own)]
+            rows += [(t.replace("{f}", f"${f}").replace("{g}", f"${g}"), family, f) for t in texts if "{g}" not in t or g != f]
+    return spark.createDataFrame(rows, "expression string, lane string, note string")
+
+
 class Generator:
     """The arms over one set of atoms, one policy and one memory."""
 
     def __init__(self, spark: SparkSession, available: Iterable[str], policy: DataFrame, memory: DataFrame):
-        self.spark, self.policy, self.memory = spark, policy, memory
+        self.spark, self.memory = spark, memory
+        # A policy has some hundred rows, atoms likewise; worked out once, as every arm reads them many times.
+        self.policy = spark.createDataFrame(policy.select("kind", "key", "score").collect(), "kind string, key string, score double")
         atoms = atom_table(spark, available)
-        scored = policy_score(atoms.select(F.col("expr").alias("expression"), "lane", F.col("expr").alias("expression_hash")), policy)
-        self.atoms = atoms.join(scored.select(F.col("expression_hash").alias("expr"), F.col("policy_score").alias("rank_score")), "expr")
+        scored = policy_score(atoms.select(F.col("expr").alias("expression"), "lane", F.col("expr").alias("expression_hash")), self.policy)
+        ranked = atoms.join(scored.select(F.col("expression_hash").alias("expr"), F.col("policy_score").alias("rank_score")), "expr")
+        self.atoms = spark.createDataFrame(ranked.collect(), ranked.schema)
 
     def _pick(self, proposals: DataFrame, limit: int, lane_share: float, least_lane: int, fieldset_cap: int, arm: str, seen: DataFrame | None = None) -> list[dict]:
         scored = judged(proposals, self.policy, self.memory if seen is None else self.memory.unionByName(seen))

@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors see: ``spark.checkpoint.dir``; a local session may do with a temporary one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _OWN:
+        _OWN[key] = tempfile.mkdtemp(prefix="spindrift-")
+    return _OWN[key]
+
 
 def build_session(name: str = "spindrift", master: str | None = None, **settings: str) -> SparkSession:
     """ANSI arithmetic, UTC and adaptive execution; ``settings`` (dots written as __) override."""

@@ -97,3 +97,12 @@ def test_checkpoint_can_be_repeated(spark, tmp_path):
     for _ in range(2):
         out = append_checkpoint(batch, f"{tmp_path}/ck", ["k"])
     assert out.count() == 5
+
+
+def test_small_gates():
+    from spindrift.operators import ledgers as led
+
+    assert sum(led.bucket_budgets(101, 0.9, 0.2, 0.1).values()) == 101 and led.bucket_budgets(100, 0.9, 0.0, 0.0)["event"] == 60
+    assert led.evidence_gate({"a": True, "b": False}, {"x": 1.0}, {"x": 0.5, "y": 0.0}) == {"ready": False, "missing": ["b"], "below": ["y"]}
+    assert led.feedback_allowed(40, 32, None, 1, True) == (True, "") and not led.feedback_allowed(3, 32, None, 1, False)[0]
+    assert not led.feedback_allowed(40, 32, False, 1, False)[0] and not led.feedback_allowed(40, 32, None, 0, True)[0]
