@@ -17,6 +17,12 @@ from spindrift.session import shared_folder
 from spindrift.sources.panels import minute_panel, table
 
 AVAILABLE = ["open", "high", "low", "close", "volume", "amount", "vwap", "pct_chg", "ctx_sent_up", "ctx_zls_strong", "evt_uplimit_active", "limit_up_streak", "m1_first5_amount", "m1_first5_range", "m1_first15_vwap", "code", "trade_time"]
+
+
+def _quoted(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
 COLUMNS = "expression_hash string, expression string, lane string, note string, fields string, policy_score double, generator_arm string"
 
 
@@ -127,6 +133,26 @@ def register(catalog: Catalog) -> None:
         )
         return led.integration_priority(fields).select("field", "status", "priority")
 
+    panel = ["f2", "f4", "f9", "f12", "f15", "limit3"]
+
+    @catalog.query(
+        "integration_audit",
+        f"""with a as (select case when s_suppkey % 6 = 0 then 'limit' || (s_suppkey % 5) else 'f' || (s_suppkey % 20) end as field, 'asset' || (s_suppkey % 3) as asset from supplier), p as (select 'f' || (c_custkey % 25) as field from customer where c_custkey % 3 = 0),
+        se as (select 'f' || (c_custkey % 11) as field from customer where c_custkey % 7 = 0), fa as (select field, string_agg(distinct asset, '|' order by asset) as assets from a group by 1), fp as (select field, count(*) as pack_refs from p group by 1), fs as (select field, count(*) as selector_refs from se group by 1),
+        m as (select coalesce(fa.field, fp.field, fs.field) as field, assets, pack_refs, selector_refs from fa full join fp on fa.field = fp.field full join fs on coalesce(fa.field, fp.field) = fs.field),
+        x as (select *, assets is not null as ha, pack_refs is not null as ip, selector_refs is not null as se, list_contains({_quoted(panel)}, field) as pa, regexp_matches(field, 'limit|event|seal') as ev from m)
+        select field, assets, pack_refs, selector_refs, case when not ha then 'missing_asset' when not pa then 'not_in_panel' when not ip then 'not_in_pack' when not se then 'not_selected' else 'integrated' end as status,
+        (case when ha then 30 else 0 end + case when pa then 20 else 0 end + case when ip then 10 else 0 end + case when se then -40 else 0 end + case when ev then 15 else 0 end) as priority from x""",
+    )
+    def integration_audit(spark, sf_dir):
+        sup, cus = F.col("s_suppkey"), F.col("c_custkey")
+        text = lambda start, n: F.concat(F.lit(start), n.cast("string"))
+        assets = table(spark, sf_dir, "supplier").select(F.when(sup % 6 == 0, text("limit", sup % 5)).otherwise(text("f", sup % 20)).alias("field"), text("asset", sup % 3).alias("asset"))
+        customers = table(spark, sf_dir, "customer")
+        packs = customers.where("c_custkey % 3 = 0").select(text("f", cus % 25).alias("field"))
+        chosen = customers.where("c_custkey % 7 = 0").select(text("f", cus % 11).alias("field"))
+        return led.integration_audit(assets, packs, chosen, panel).select("field", "assets", "pack_refs", "selector_refs", "status", "priority")
+
     memory = "me as (select c_custkey as candidate_id, 'k' || (c_custkey % 90) as expression_key, 'rule' || (c_custkey % 6) as rule, c_custkey % 4 = 1 as retained, round(c_acctbal / 10000, 6) as reward, case c_custkey % 3 when 0 then 'stock' when 1 then 'sector' end as dataset_role from customer)"
 
     def _memory(spark, sf_dir):

@@ -57,6 +57,19 @@ def integration_priority(fields: DataFrame) -> DataFrame:
     return fields.withColumns({"status": status, "priority": score})
 
 
+def integration_audit(assets: DataFrame, pack_refs: DataFrame, selector_refs: DataFrame, panel_fields: list[str]) -> DataFrame:
+    """One row for each field that any source names: where it is found, its state and its priority.
+
+    Each source is a table with a ``field``; assets also have an ``asset``.
+    """
+    found = assets.groupBy("field").agg(F.array_join(F.array_sort(F.collect_set("asset")), "|").alias("assets"), F.lit(True).alias("has_asset"))
+    packed = pack_refs.groupBy("field").agg(F.count("*").alias("pack_refs"), F.lit(True).alias("in_pack"))
+    chosen = selector_refs.groupBy("field").agg(F.count("*").alias("selector_refs"), F.lit(True).alias("selected"))
+    merged = found.join(packed, "field", "full").join(chosen, "field", "full")
+    flagged = merged.withColumns({"in_panel": F.col("field").isin(panel_fields), "event_like": F.col("field").rlike("limit|event|seal")})
+    return integration_priority(flagged)
+
+
 def memory_stats(memory: DataFrame) -> DataFrame:
     """By production rule: records, share retained, mean reward."""
     return memory.groupBy("rule").agg(F.count("*").alias("records"), F.avg(F.col("retained").cast("double")).alias("retained_yield"), F.avg("reward").alias("mean_reward"))
