@@ -14,7 +14,7 @@ from spindrift.sources.panels import daily_panel, minute_panel, table
 FACTS = """facts as (select 'U' || (user_id % 10) as code, cast(ts as date) as source_date, sum(value) as spent, count(*) as n from events
   where event_type = 'purchase' and user_id % 3 = 0 and day(ts) % 4 = 1 group by 1, 2)"""
 MARKET = """market as (select cast(ts as date) as source_date, avg(value) as mood from events where event_type = 'signup' and day(ts) % 5 != 0 group by 1)"""
-ONCE = """cut as (select 'U' || (user_id % 10) as code, cast(ts as date) as source_date, min(hour(ts) * 60 + minute(ts)) as cutoff_minute, arg_min(value, (ts, event_id)) as first_value from events
+ONCE = """cut as (select 'U' || (user_id % 10) as code, cast(ts as date) as source_date, cast(min(hour(ts) * 60 + minute(ts)) as integer) as cutoff_minute, arg_min(value, (ts, event_id)) as first_value from events
   where event_type = 'error' and user_id % 7 = 2 group by 1, 2)"""
 
 

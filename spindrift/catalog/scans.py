@@ -57,7 +57,7 @@ def register(catalog: Catalog) -> None:
     sampled = """p as (select trade_time, row_number() over (order by trade_time) - 1 as place from (select distinct trade_time from minute)),
     n as (select count(*) as n from p), s as (select distinct cast(round_even(i * ((select n from n) - 1) / 16.0, 0) as integer) as place from range(17) t(i))"""
 
-    @catalog.query("sample_times", f"with {MINUTE}, {sampled} select trade_time, place from p where place in (select place from s)")
+    @catalog.query("sample_times", f"with {MINUTE}, {sampled} select trade_time, cast(place as integer) as place from p where place in (select place from s)")
     def sample_times(spark, sf_dir):
         return panels.sampled_times(panels.minute_panel(spark, sf_dir), 17)
 
