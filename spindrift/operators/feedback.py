@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.numeric import divide
-from spindrift.functions.numeric import steady_round as rnd
 from spindrift.operators.gates import KNOWN, shape_features, sorted_fields
 
 WRONG_LAG, CROWDED = "future_signal_wrong_lag_too_strong", "signal_corr_abs"
