@@ -360,7 +360,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     repeated = buckets.where("key is null").select("hash").distinct()
     named = repeated.join(comps, "hash", "full_outer").select("hash", F.coalesce("comp", "hash").alias("comp"))
     spots = materialize(units.join(named, "hash").select("id", "spot", "comp"), "repeat-spots")
-    owners = spots.groupBy("comp").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner != last").select("comp", "owner")
+    # As a table of its own, so that the join deals both sides anew and can split a component that very many documents share.
+    owners = materialize(spots.groupBy("comp").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner != last").select("comp", "owner"), "repeat-owners")
     in_doc = Window.partitionBy("id").orderBy("first")
     placed = spots.join(owners, "comp").select("id", F.floor(F.col("spot") / 128).alias("first"), (F.col("spot") % 128).alias("words"), "owner").distinct()
     reach = F.max(F.col("first") + F.col("words")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
