@@ -1,7 +1,6 @@
 """Operators against brute force and published implementations."""
 
 import hashlib
-import json
 import math
 import random
 import re
