@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spindrift.llm.common import use_small_batches
 
@@ -238,8 +239,12 @@ def matches(index: Index, symbols: np.ndarray, starts_of: np.ndarray, lengths: n
         begin, stop = int(starts_of[text]), int(starts_of[text] + lengths[text])
         low, high = max(begin, low), min(stop, high)
         region = symbols[low:high].tolist()
+        allowed = int(share * n + 1e-9)
+        # All but ``allowed`` words of the item must find a partner, so that many words of the region are words of it.
+        if sum(map(index.masks[item].__contains__, region)) < n - allowed:
+            return
         distance, end = best_place(index.masks[item], n, region)
-        if distance > int(share * n + 1e-9):
+        if distance > allowed:
             return
         if (old := found.get((text, item))) is not None and old[0] <= distance:
             return
@@ -305,9 +310,7 @@ def _searcher(shared) -> Searcher:
     return Searcher(shared.value)
 
 
-def _match_batches(shared, item_type: str):
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
-
+def _match_batches(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = _searcher(shared)
         for batch in batches:
@@ -339,11 +342,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     spark = docs.sparkSession
     use_small_batches(spark)
     id_type, item_type = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
+    kind = to_arrow_type(benchmark.schema[item_column].dataType)
     schema = f"`{id_column}` {id_type}, item_id {item_type}, edit_distance bigint, first_word bigint, end_word bigint, item_words bigint"
     narrow = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
     out = spark.createDataFrame([], schema)
     for rows in benchmark_blocks(benchmark, item_column, item_text_column):
-        out = out.unionAll(narrow.mapInArrow(_match_batches(spark.sparkContext.broadcast(rows), item_type), schema))
+        out = out.unionAll(narrow.mapInArrow(_match_batches(spark.sparkContext.broadcast(rows), kind), schema))
     return out
 
 
