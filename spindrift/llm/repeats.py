@@ -322,7 +322,8 @@ def _similar_links(members: DataFrame, contents: DataFrame) -> DataFrame:
     wanted = members.select("hash").distinct()
     found = materialize(contents.join(wanted, "hash").dropDuplicates(["hash"]), "repeat-contents")
     full = materialize(members.join(found, "hash"), "repeat-members")
-    sizes = full.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # A table of its own for the same reason as the owners below: the join can then split a crowded bucket.
+    sizes = materialize(full.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "repeat-sizes")
     dealt = materialize(full.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")), "repeat-dealt")
     first = materialize(_group_links(dealt.withColumn("comp", F.col("hash")), "key", "block"), "repeat-links")
     if not dealt.where("blocks > 1").limit(1).count():
