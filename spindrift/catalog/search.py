@@ -232,24 +232,40 @@ def register(catalog: Catalog) -> None:
 
     vec = "pv as (select s_suppkey as k, 'f' || s_suppkey as field, [(s_suppkey % 3)::double, (s_suppkey % 5)::double, (s_suppkey % 2)::double, 1.0::double, (s_suppkey % 7)::double] as v from supplier where s_suppkey < 60)"
 
-    def _profiles(spark, sf_dir):
+    #: The same over the whole table.
+    vec_whole = vec.replace(" where s_suppkey < 60", "")
+
+    def _profiles(spark, sf_dir, some="s_suppkey < 60"):
         k = F.col("s_suppkey")
         vector = F.array(*[(k % n).cast("double") for n in (3, 5, 2)], F.lit(1.0), (k % 7).cast("double"))
-        return table(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("f"), k.cast("string")).alias("field"), vector.alias("vector"))
+        return table(spark, sf_dir, "supplier").where(some).select(F.concat(F.lit("f"), k.cast("string")).alias("field"), vector.alias("vector"))
 
     @catalog.query("field_redundancy", f"with {vec}, c as (select a.field as left_field, b.field as right_field, list_cosine_similarity(a.v, b.v) as cosine from pv a join pv b on a.field < b.field) select left_field, right_field, round(cosine, 6) as cosine from c where cosine >= 0.92 - 1e-12")
     def field_redundancy(spark, sf_dir):
         return led.redundant_fields(_profiles(spark, sf_dir), 0.92 - 1e-12)
 
+    @catalog.query("field_redundancy_whole", f"with {vec_whole}, c as (select a.field as left_field, b.field as right_field, list_cosine_similarity(a.v, b.v) as cosine from pv a join pv b on a.field < b.field) select left_field, right_field, round(cosine, 6) as cosine from c where cosine >= 0.92 - 1e-12")
+    def field_redundancy_whole(spark, sf_dir):
+        return led.redundant_fields(_profiles(spark, sf_dir, "true"), 0.92 - 1e-12)
+
+    def _mean_profiles(p):
+        number = F.substring("field", 2, 9).cast("int")
+        f = p.groupBy(F.concat(F.lit("e"), (number % 8).cast("string")).alias("expression")).agg(F.collect_set("field").alias("fields"))
+        return led.expression_profile(f, p).withColumn("value", rnd(F.col("value")))
+
     @catalog.query(
         "expr_profile",
         f"""with {vec}, ex as (select 'e' || (k % 8) as expression, v from pv), d as (select expression, unnest(v) as x, generate_subscripts(v, 1) - 1 as dim from ex) select expression, cast(dim as integer) as dim, round(avg(x), 6) as value from d group by 1, 2""",
     )
     def expr_profile(spark, sf_dir):
-        p = _profiles(spark, sf_dir)
-        number = F.substring("field", 2, 9).cast("int")
-        f = p.groupBy(F.concat(F.lit("e"), (number % 8).cast("string")).alias("expression")).agg(F.collect_set("field").alias("fields"))
-        return led.expression_profile(f, p).withColumn("value", rnd(F.col("value")))
+        return _mean_profiles(_profiles(spark, sf_dir))
+
+    @catalog.query(
+        "expr_profile_whole",
+        f"""with {vec_whole}, ex as (select 'e' || (k % 8) as expression, v from pv), d as (select expression, unnest(v) as x, generate_subscripts(v, 1) - 1 as dim from ex) select expression, cast(dim as integer) as dim, round(avg(x), 6) as value from d group by 1, 2""",
+    )
+    def expr_profile_whole(spark, sf_dir):
+        return _mean_profiles(_profiles(spark, sf_dir, "true"))
 
     @catalog.query(
         "candidate_schema",

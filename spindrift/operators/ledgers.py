@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from spindrift.functions.numeric import steady_round as rnd
 
 # Limits of the smoke flags.
 LEAST_IC, LEAST_WINDOWS, LEAST_POSITIVE = 0.01, 4, 0.5
+#: Dimensions of profiles that say which are compared.
+CELL_DIMENSIONS = 3
 
 
 def replay_objective(evaluations: DataFrame) -> DataFrame:
@@ -232,12 +237,25 @@ def event_family(field: Column) -> Column:
 
 
 def redundant_fields(profiles: DataFrame, least: float = 0.92) -> DataFrame:
-    """Pairs of fields whose profiles point the same way: cosine at or above ``least``. Fields are a short list."""
-    a, b = (profiles.select(F.col("field").alias(f"{p}_field"), F.col("vector").alias(f"{p}_vector")) for p in ("left", "right"))
+    """Pairs of fields whose profiles point the same way: cosine at or above ``least``.
+
+    Fields of equal profiles are one class, and only classes are compared. Unit vectors of
+    that cosine are at most sqrt(2 - 2 * least) apart in each dimension, so classes meet by
+    equal or neighbouring cells of that width in their first dimensions.
+    """
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, F.col("left_field") < F.col("right_field"))
+    width = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    place = lambda k: F.floor(F.coalesce(F.get("vector", F.lit(k)), F.lit(0.0)) / F.col("norm") / width)
+    classes = profiles.select("vector").distinct().withColumn("norm", norm).where("norm > 0").select("vector", F.array(*[place(k) for k in range(CELL_DIMENSIONS)]).alias("cell"))
+    steps = [F.array(*map(F.lit, step)) for step in itertools.product((-1, 0, 1), repeat=CELL_DIMENSIONS)]
+    a = classes.select(F.col("vector").alias("left_vector"), F.explode(F.array(*[F.zip_with("cell", step, lambda u, v: u + v) for step in steps])).alias("cell"))
+    b = classes.select(F.col("vector").alias("right_vector"), "cell")
     size = F.sqrt(dot(F.col("left_vector"), F.col("left_vector")) * dot(F.col("right_vector"), F.col("right_vector")))
-    return pairs.withColumn("cosine", divide(dot(F.col("left_vector"), F.col("right_vector")), size)).where(F.col("cosine") >= least).select("left_field", "right_field", rnd(F.col("cosine")).alias("cosine"))
+    near = a.join(b, "cell").withColumn("cosine", divide(dot(F.col("left_vector"), F.col("right_vector")), size)).where(F.col("cosine") >= least).drop("cell")
+    left, right = (profiles.select(F.col("field").alias(f"{p}_field"), F.col("vector").alias(f"{p}_vector")) for p in ("left", "right"))
+    pairs = near.join(left, "left_vector").join(right, "right_vector").where("left_field < right_field")
+    return pairs.select("left_field", "right_field", rnd(F.col("cosine")).alias("cosine"))
 
 
 def expression_profile(formulas: DataFrame, profiles: DataFrame) -> DataFrame:
