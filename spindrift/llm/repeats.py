@@ -6,7 +6,8 @@ words is the lowest among its neighbours, so equal passages are cut alike wherev
 stand. Equal paragraphs meet by their hash. Others meet if they agree in a band of
 MinHash values over five-word shingles; the exact Jaccard similarity of what meets is
 verified, and connected components say which paragraphs are one. A passage is a run of
-such paragraphs, long enough, that stand in two documents or more.
+such paragraphs, long enough, that stand in two documents or more. A run goes on across
+edited words where the paragraphs on both sides stand in one other document, as far apart.
 
 Two paragraphs of similarity 0.8 agree in one of ``BANDS`` bands of ``ROWS`` values with
 probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.983. Paragraphs of fewer than
@@ -40,6 +41,11 @@ LEAST_BANDED = 8
 LEAST_PASSAGE = 20
 #: Words between two paragraphs of a run: one too short to be a paragraph of its own.
 RUN_GAP = SHINGLE - 1
+#: Words between two paragraphs of a run that another document has at the same distance, up to SHIFT words: an edited paragraph or two.
+BRIDGE = 24
+SHIFT = 4
+#: As LEAST_PASSAGE, for a run with such a bridge.
+LEAST_BRIDGED = 12
 #: Members of a bucket that are compared in one group; larger buckets go in pairs of blocks.
 BLOCK = 512
 REMEMBERED = 300_000
@@ -362,14 +368,27 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     named = repeated.join(comps, "hash", "full_outer").select("hash", F.coalesce("comp", "hash").alias("comp"))
     spots = materialize(units.join(named, "hash").select("id", "spot", "comp"), "repeat-spots")
     # As a table of its own, so that the join deals both sides anew and can split a component that very many documents share.
-    owners = materialize(spots.groupBy("comp").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner != last").select("comp", "owner"), "repeat-owners")
-    in_doc = Window.partitionBy("id").orderBy("first")
-    placed = spots.join(owners, "comp").select("id", F.floor(F.col("spot") / 128).alias("first"), (F.col("spot") % 128).alias("words"), "owner").distinct()
+    spot = F.when(F.col("id").isNotNull(), F.struct("id", "spot"))
+    owners = materialize(spots.groupBy("comp").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low.id != high.id"), "repeat-owners")
+    in_doc = Window.partitionBy("id").orderBy("first", "words")
+    place = lambda c: F.floor(F.col(c) / 128)
+    # Where else the paragraph is: in the first and the last document that have it, and by how many words it is shifted there.
+    twin = lambda c: F.when(F.col(f"{c}.id") != F.col("id"), F.struct(F.col(f"{c}.id").alias("id"), (place(f"{c}.spot") - place("spot")).alias("shift"))).alias(c)
+    placed = spots.join(owners, "comp").select("id", place("spot").alias("first"), (F.col("spot") % 128).alias("words"), F.col("low.id").alias("owner"), twin("low"), twin("high"))
+    # Dealt by document once: equal rows and runs are then found without another exchange.
+    placed = placed.repartition("id").distinct()
     reach = F.max(F.col("first") + F.col("words")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = placed.withColumn("opens", F.when(F.col("first") - reach <= RUN_GAP, 0).otherwise(1)).withColumn("run", F.sum("opens").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    aligned = F.lit(False)
+    for c in ("low", "high"):
+        for before in (F.lag("low").over(in_doc), F.lag("high").over(in_doc)):
+            aligned |= F.coalesce((before["id"] == F.col(f"{c}.id")) & (F.abs(before["shift"] - F.col(f"{c}.shift")) <= SHIFT), F.lit(False))
+    runs = placed.withColumns({"gap": F.col("first") - reach, "aligned": aligned})
+    runs = runs.withColumn("bridged", F.coalesce((F.col("gap") > RUN_GAP) & (F.col("gap") <= BRIDGE) & F.col("aligned"), F.lit(False)))
+    runs = runs.withColumn("opens", F.when((F.col("gap") <= RUN_GAP) | F.col("bridged"), 0).otherwise(1)).withColumn("run", F.sum("opens").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
     passages = runs.groupBy("id", "run").agg(
-        F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("end_word"), F.sum("words").alias("n_words"), F.min("owner").alias("component_id")
+        F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("end_word"), F.sum("words").alias("n_words"), F.min("owner").alias("component_id"), F.max("bridged").alias("bridged")
     )
-    return passages.where(F.col("n_words") >= least_words).select(
+    least = F.when(F.col("bridged"), min(LEAST_BRIDGED, least_words)).otherwise(least_words)
+    return passages.where(F.col("n_words") >= least).select(
         F.col("id").alias(id_column), "first_word", "end_word", "n_words", "component_id", (F.col("component_id") != F.col("id")).alias("removed")
     )

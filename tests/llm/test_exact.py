@@ -488,6 +488,25 @@ def test_copied_passages_are_found(spark):
     assert all(r.removed == (r.doc_id >= 40) for r in out)
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(400):
+        passage = sentence(rng, rng.randint(51, 60)).split()
+        edited, at = list(passage), rng.randrange(len(passage))
+        edited[at : at + 1] = ["changed"] if k % 2 else []
+        for j, words in enumerate((passage, edited)):
+            rows.append((2 * k + j, " ".join([sentence(rng, 60), *words, sentence(rng, 60)])))
+    # Two copied paragraphs with other text between them, not as far apart: neither is a passage.
+    near, far = sentence(rng, 12), sentence(rng, 12)
+    rows += [(9000 + j, " ".join([sentence(rng, 40), near, sentence(rng, 6 + 13 * j), far, sentence(rng, 40)])) for j in range(2)]
+    out = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in out if r.removed}
+    assert found <= {2 * k + 1 for k in range(400)}
+    assert len(found) >= 0.96 * 400
+    assert all(r.component_id == r.doc_id // 2 * 2 and r.first_word >= 55 and r.end_word <= 125 for r in out)
+
+
 def test_near_copies_link():
     rng = random.Random(5)
     own = repeats.Paragraphs()
