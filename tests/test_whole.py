@@ -1,10 +1,12 @@
 """Queries over whole tables: no row is left out, whatever the table's size."""
 
+import datetime as dt
 import os
 
 import pytest
 
 from spindrift.catalog import load
+from spindrift.operators import joins as j
 from spindrift.operators import ledgers as led
 from spindrift.sources.panels import table
 
@@ -40,3 +42,24 @@ def test_redundancy_forms_no_pair_of_all_fields(spark):
     pairs = {(r.left_field, r.right_field) for r in out.collect()}
     cosine = lambda u, v: sum(x * y for x, y in zip(u, v, strict=True)) / (sum(x * x for x in u) * sum(y * y for y in v)) ** 0.5
     assert pairs == {(f, g) for f, u in rows[:40] for g, v in rows[:40] if f < g and cosine(u, v) >= 0.9}
+
+
+@needs_tables
+def test_joins_see_every_row(spark):
+    for name, sql in CATALOG.oracle.items():
+        if f"{name}_whole" in CATALOG.oracle and "% 3 = 0 and day" in sql:
+            assert "% 3 = 0 and day" not in CATALOG.oracle[f"{name}_whole"]
+    events = table(spark, FOLDER, "events")
+    merged = CATALOG.queries["outer_context_merge_whole"](spark, FOLDER).selectExpr("sum(n)", "count(cutoff_minute)").first()
+    assert merged[0] == events.where("event_type = 'purchase'").count()
+    assert merged[1] == events.where("event_type = 'error'").selectExpr("user_id % 10", "to_date(ts)").distinct().count()
+    moods = CATALOG.queries["asof_market_whole"](spark, FOLDER).where("mood is not null").selectExpr("to_date(trade_time) as day", "mood").distinct()
+    assert moods.count() == moods.select("mood").distinct().count()  # each day has a day before it of its own
+
+
+def test_gaps_are_looked_back_over(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    left = spark.createDataFrame([("a", day(n)) for n in range(1, 8)], "code string, date date")
+    right = spark.createDataFrame([("a", day(1), 1.0), ("a", day(5), None), ("b", day(2), 9.0)], "code string, source_date date, v double")
+    out = j.asof(left, right, ["code"], "date", "source_date", ["v"]).orderBy("date").collect()
+    assert [r.v for r in out] == [None, 1.0, 1.0, 1.0, 1.0, None, None]
