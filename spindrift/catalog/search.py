@@ -331,6 +331,8 @@ def register(catalog: Catalog) -> None:
         import uuid
 
         path = f"{shared_folder(spark)}/reward-{uuid.uuid4().hex}"
-        batch = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-        led.append_checkpoint(batch.where("s_suppkey < 6"), path, ["s_suppkey"])
-        return led.append_checkpoint(batch.where("s_suppkey < 9"), path, ["s_suppkey"])
+        rows = table(spark, sf_dir, "supplier")
+        batch = lambda test: rows.where(test).select("s_suppkey", "s_acctbal")
+        # Batches that overlap, and together have every row.
+        led.append_checkpoint(batch("s_nationkey < 15"), path, ["s_suppkey"])
+        return led.append_checkpoint(batch("s_nationkey >= 10 or s_nationkey is null"), path, ["s_suppkey"])

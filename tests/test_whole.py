@@ -63,3 +63,10 @@ def test_gaps_are_looked_back_over(spark):
     right = spark.createDataFrame([("a", day(1), 1.0), ("a", day(5), None), ("b", day(2), 9.0)], "code string, source_date date, v double")
     out = j.asof(left, right, ["code"], "date", "source_date", ["v"]).orderBy("date").collect()
     assert [r.v for r in out] == [None, 1.0, 1.0, 1.0, 1.0, None, None]
+
+
+@needs_tables
+def test_checkpoint_has_every_row_once(spark):
+    out = CATALOG.queries["incremental_checkpoint"](spark, FOLDER).collect()
+    rows = table(spark, FOLDER, "supplier").select("s_suppkey", "s_acctbal").collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, rows)) and len(rows) > 9
