@@ -350,7 +350,7 @@ def register(catalog: Catalog) -> None:
     @catalog.query("block_bootstrap")
     def block_bootstrap(spark, sf_dir):
         pieces = curve(spark, sf_dir).select("candidate", F.to_date("trade_time").alias("day"), "trade_time", "net_return")
-        return m.day_bootstrap(pieces, ["candidate"], iterations=200, value="net_return", block="day")
+        return m.day_bootstrap(pieces, ["candidate"], iterations=1000, value="net_return", block="day")
 
     @catalog.query("train_reward")
     def train_reward(spark, sf_dir):

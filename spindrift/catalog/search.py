@@ -324,7 +324,7 @@ def register(catalog: Catalog) -> None:
     def bx_audit(spark, sf_dir):
         r = results(spark, sf_dir)
         cells = r.select("expression_hash", F.concat_ws("-", "position", "horizon").alias("cell"), F.col("aligned_spread_mean").alias("spread"), F.coalesce("aligned_ic_mean", F.lit(0.0)).alias("ic"), F.contains("blocker_flags", F.lit("wrong_lag")).alias("lagged"))
-        return led.proxy_audit(cells, ["expression_hash"], iterations=100)
+        return led.proxy_audit(cells, ["expression_hash"], iterations=2000)
 
     @catalog.query("incremental_checkpoint")
     def incremental_checkpoint(spark, sf_dir):

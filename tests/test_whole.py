@@ -8,6 +8,7 @@ import pytest
 from spindrift.catalog import load
 from spindrift.operators import joins as j
 from spindrift.operators import ledgers as led
+from spindrift.operators import metrics as m
 from spindrift.sources.panels import table
 
 FOLDER = "/root/testdata/sf0.01"
@@ -70,3 +71,11 @@ def test_checkpoint_has_every_row_once(spark):
     out = CATALOG.queries["incremental_checkpoint"](spark, FOLDER).collect()
     rows = table(spark, FOLDER, "supplier").select("s_suppkey", "s_acctbal").collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, rows)) and len(rows) > 9
+
+
+@pytest.mark.parametrize("name, module, operator, draws", [("bx_audit", led, "proxy_audit", 2000), ("block_bootstrap", m, "day_bootstrap", 1000)])
+def test_draws_of_resampling(spark, monkeypatch, name, module, operator, draws):
+    asked = []
+    monkeypatch.setattr(module, operator, lambda *a, iterations=None, **b: asked.append(iterations))
+    CATALOG.queries[name](spark, "/root/testdata/sf0.001")
+    assert asked == [draws]
