@@ -75,3 +75,12 @@ def test_pages(spark):
     out = html_text.extract_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 4 * 20_000 + 19_999)]
     assert html_text.extract_text(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_self_closed_foreign_elements():
+    from spindrift.llm import html_text
+
+    for tag in ('<svg class="i"/>', "<math/>", "<svg width=5 />", '<SVG a="x>y" b=\'/\' />'):
+        assert html_text.read_lines(f"<body><p>before{tag} after</p><p>more</p></body>") == [("before after", False), ("more", False)], tag
+    for tag in ('<svg class="i">', "<svg width=5/>", '<svg a="x/">'):
+        assert html_text.read_lines(f"<body><p>before{tag}drawn</svg> after</p></body>") == [("before after", False)], tag
