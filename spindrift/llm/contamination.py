@@ -125,11 +125,16 @@ class Index:
         self.items = items
         entries: dict[int, list[tuple[int, int]]] = defaultdict(list)  # least words of a class: (item, first word)
         self.exact: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        #: Halves of short items that may have an edit, which leaves one of them intact: by words and key, (item, first word).
+        self.halves: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for number, item in enumerate(items):
             n = len(item.symbols)
             if n < SHORT:
                 if n:
                     self.exact[n][int(_sequence_keys(np.array(item.symbols, np.uint64), n)[0])].append(number)
+                if int(EDIT_SHARE * n + 1e-9):
+                    for low, high in ((0, n // 2), (n // 2, n)):
+                        self.halves[high - low][int(_sequence_keys(np.array(item.symbols[low:high], np.uint64), high - low)[0])].append((number, low))
                 continue
             pieces = max(1, -(-n // PIECE))
             for k in range(pieces):
@@ -273,6 +278,16 @@ def matches(index: Index, symbols: np.ndarray, starts_of: np.ndarray, lengths: n
                 if (t, i) not in found and tuple(symbols[p : p + n].tolist()) == index.items[i].symbols:
                     b = int(starts_of[t])
                     found[t, i] = 0, p - b, p - b + n
+    for n, table in index.halves.items():
+        keys = _sequence_keys(symbols, n)
+        wanted = np.fromiter(table, np.uint64, len(table))
+        for p in np.flatnonzero(np.isin(keys, wanted)).tolist():
+            t = int(np.searchsorted(starts_of, p, "right") - 1)
+            for i, o in table[int(keys[p])]:
+                if found.get((t, i), (1,))[0]:
+                    whole = len(index.items[i].symbols)
+                    slack = int(share * whole + 1e-9)
+                    settle(t, i, p - o - slack, p - o + whole + slack)
     return found
 
 

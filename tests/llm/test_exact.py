@@ -409,6 +409,25 @@ def test_recall_of_edited_items(share, least):
     assert found >= least * len(items)
 
 
+def test_short_items_with_an_edit():
+    rng = random.Random(17)
+    items = [sentence(rng, n) for n in (4, 5, 6, 7)]
+    searcher = contamination.Searcher(list(enumerate(items)))
+    for i, item in enumerate(items):
+        for at in range(len(item.split())):
+            for new in (["changed"], [], ["added", item.split()[at]]):
+                words = item.split()
+                words[at : at + 1] = new
+                found = searcher.search([sentence(rng, 9), " ".join([sentence(rng, 9), *words, sentence(rng, 9)])])
+                if i:
+                    assert found[1, i][0] <= 1 and set(found) == {(1, i)}
+                else:
+                    assert (1, i) not in found or found[1, i][0] == 0
+                twice = items[i].split()
+                twice[0], twice[-1] = "changed", "twice"
+                assert not searcher.search([" ".join(twice)])
+
+
 def test_contamination_rows(spark):
     rng = random.Random(2)
     item, other = sentence(rng, 20), sentence(rng, 20)
