@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _OWN_DIR.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spindrift-"))
+    if context.applicationId not in _OWN_DIR:
+        _OWN_DIR[context.applicationId] = tempfile.mkdtemp(prefix="spindrift-")
+    return _OWN_DIR[context.applicationId]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -37,7 +41,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialize` wrote and nothing will read again; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "scratch_path", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots written as __) for what is written inside; the old ones come back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: For tables of narrow rows without texts.
+LARGE_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "65536"}
 
 
 def use_small_batches(spark: SparkSession) -> None:
@@ -64,6 +100,17 @@ def hashable(df: DataFrame) -> list:
     return [F.col(f"`{f.name}`") for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
 
 
+def row_marks(df: DataFrame) -> list:
+    """Two hashes of a whole row (128 bits tell any number of rows apart); nested columns go in as JSON, which also tells where their nulls are."""
+    columns = []
+    for f in df.schema.fields:
+        column = F.col(f"`{f.name}`")
+        columns.append(F.to_json(F.struct(column)) if any(x in f.dataType.simpleString() for x in ("<", "variant")) else column)
+    # A null is skipped by the hash, so the places of the nulls go in, too.
+    nulls = F.concat(*[F.when(F.col(f"`{f.name}`").isNull(), "0").otherwise("1") for f in df.schema.fields])
+    return [F.xxhash64(nulls, *columns), F.xxhash64(F.lit("second"), nulls, *columns)]
+
+
 def id_bucket(column: str, modulus: int):
     """crc32 of the id's text form, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import materialize
+from spindrift.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -53,5 +53,7 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 60) ->
                 current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = (size, total)
-        current = materialize(_star(_star(current, large=True), large=False), f"{label}-round")
+        done = current
+        current = materialize(_star(_star(done, large=True), large=False), f"{label}-round")
+        discard(done)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

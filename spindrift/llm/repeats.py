@@ -5,9 +5,14 @@ cut into paragraphs by their content instead: a cut falls where a hash of two su
 words is the lowest among its neighbours, so equal passages are cut alike wherever they
 stand. Equal paragraphs meet by their hash. Others meet if they agree in a band of
 MinHash values over five-word shingles; the exact Jaccard similarity of what meets is
-verified, and connected components say which paragraphs are one. A passage is a run of
-such paragraphs, long enough, that stand in two documents or more. A run goes on across
-edited words where the paragraphs on both sides stand in one other document, as far apart.
+verified, and connected components say which paragraphs are one. A run is a row of such
+paragraphs that stand in two documents or more; it goes on across edited words where the
+paragraphs on both sides stand in one other document, as far apart.
+
+Whole paragraphs don't reach to the ends of a copied passage. A run long enough is one
+for sure; a shorter one is compared with the other document word by word, from each of
+its paragraphs outwards across single edits, and is one if so they share enough words.
+What goes is decided by paragraph: each stays in the smallest id that has it.
 
 Two paragraphs of similarity 0.8 agree in one of ``BANDS`` bands of ``ROWS`` values with
 probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.983. Paragraphs of fewer than
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import materialize, use_small_batches
+from spindrift.llm.common import LARGE_BATCHES, discard, materialize, settings, use_small_batches
 from spindrift.llm.components import connected_components
 
 SHINGLE = 5
@@ -37,15 +42,22 @@ LONGEST = 64
 #: Successive equal words that make a run of their own.
 RUN = 16
 LEAST_BANDED = 8
-#: Words of a run of repeated paragraphs that make a passage. Whole paragraphs cover fewer of a copied 51 words in 2 cases of 1,000 (simulated).
-LEAST_PASSAGE = 20
+#: Words that two documents share in a row, edits aside, to make a passage.
+LEAST_PASSAGE = 50
+#: Words of whole paragraphs that a run needs to be compared word by word. Of 51 copied words they cover fewer in 2 cases of 1,000 (simulated).
+LEAST_CORE = 20
 #: Words between two paragraphs of a run: one too short to be a paragraph of its own.
 RUN_GAP = SHINGLE - 1
 #: Words between two paragraphs of a run that another document has at the same distance, up to SHIFT words: an edited paragraph or two.
 BRIDGE = 24
 SHIFT = 4
-#: As LEAST_PASSAGE, for a run with such a bridge.
+#: As LEAST_CORE, for a run with such a bridge.
 LEAST_BRIDGED = 12
+#: Edits that a comparison goes across on either side, and the equal words that must follow one.
+EDITS = 3
+RESYNC = 3
+#: Words in one row of a text that is compared word by word.
+WORD_BLOCK = 64
 #: Members of a bucket that are compared in one group; larger buckets go in pairs of blocks.
 BLOCK = 512
 REMEMBERED = 300_000
@@ -342,13 +354,92 @@ def _similar_links(members: DataFrame, contents: DataFrame) -> DataFrame:
     return first.unionAll(_group_links(pairs, "key", "low", "high"))
 
 
+def shared_beside(own: dict[int, int], other: dict[int, int], at: int, shift: int, step: int) -> int:
+    """Words from ``at`` on, forwards (step 1) or backwards (-1), that the other text has, too, ``shift`` words on.
+
+    Single words that were put in, left out or replaced are gone across (and counted in),
+    ``EDITS`` of them at most, where ``RESYNC`` equal words follow.
+    """
+    i, j, edits, equal = at, at + shift, 0, 0
+    while True:
+        a = own.get(i)
+        if a is not None and a == other.get(j):
+            i, j = i + step, j + step
+            equal = abs(i - at)
+            continue
+        if edits == EDITS:
+            return equal
+        for x, y in ((1, 1), (1, 0), (0, 1)):
+            ahead = [(own.get(i + step * (x + k)), other.get(j + step * (y + k))) for k in range(RESYNC)]
+            if all(a is not None and a == b for a, b in ahead):
+                i, j, edits = i + step * x, j + step * y, edits + 1
+                break
+        else:
+            return equal
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each ``WORD_BLOCK`` words of a text: id, number of the block, hashes of its words."""
+    own = Paragraphs()
+    for batch in batches:
+        rows, numbers, parts, ends = [], [], [], [0]
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            symbols = (own.symbols(text or "") >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for number, low in enumerate(range(0, len(symbols), WORD_BLOCK)):
+                rows.append(i)
+                numbers.append(number)
+                parts.append(symbols[low : low + WORD_BLOCK])
+                ends.append(ends[-1] + len(parts[-1]))
+        if rows:
+            hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int64()), hashes], names=["id", "block", "hashes"])
+
+
+def _extent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, run, shared): how many words a paragraph and what is around it share with a document."""
+    for batch in batches:
+        first, words, shift, blocks = (batch.column(k).to_pylist() for k in range(2, 6))
+        shared = []
+        for f, n, s, found in zip(first, words, shift, blocks, strict=True):
+            own, other = ({b["block"] * WORD_BLOCK + k: h for b in found if b["other"] == side for k, h in enumerate(b["hashes"])} for side in (False, True))
+            shared.append(n + shared_beside(own, other, f - 1, s, -1) + shared_beside(own, other, f + n, s, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], names=["id", "run", "shared"])
+
+
+def _verified(short: DataFrame, narrow: DataFrame, least_words: int) -> DataFrame:
+    """Rows (id, run) of short runs that share ``least_words`` words with one document.
+
+    short: rows (id, run, first, words, low, high). Texts are read again for the documents
+    concerned only, and what is compared of them are the words around a paragraph.
+    """
+    kind = narrow.schema["id"].dataType.simpleString()
+    pairs = materialize(
+        short.select("id", "run", "first", "words", F.explode(F.array("low", "high")).alias("twin")).where("twin is not null").select("id", "run", "first", "words", F.col("twin.id").alias("twin"), F.col("twin.shift").alias("shift")).distinct(),
+        "repeat-pairs",
+    )
+    wanted = materialize(pairs.select("id").unionAll(pairs.select("twin")).distinct(), "repeat-wanted")
+    blocks = materialize(narrow.join(wanted, "id", "left_semi").mapInArrow(_block_batches, f"id {kind}, block bigint, hashes array<int>").distinct(), "repeat-words")
+    block = lambda c: F.greatest(F.floor(c / WORD_BLOCK), F.lit(0)).cast("long")
+    asked = []
+    for other, doc, moved in ((False, "id", F.lit(0)), (True, "twin", F.col("shift"))):
+        span = F.sequence(block(F.col("first") + moved - least_words), block(F.col("first") + F.col("words") + moved + least_words))
+        asked.append(pairs.select("*", F.lit(other).alias("other"), F.col(doc).alias("of"), F.explode(span).alias("block")))
+    met = asked[0].unionAll(asked[1]).join(blocks.withColumnRenamed("id", "of"), ["of", "block"])
+    keys = ["id", "run", "first", "words", "shift"]
+    both = met.groupBy(*keys, "twin").agg(F.collect_list(F.struct("other", "block", "hashes")).alias("blocks")).select(*keys, "blocks")
+    return both.mapInArrow(_extent_batches, f"id {kind}, run bigint, shared bigint").where(F.col("shared") >= least_words).select("id", "run").distinct()
+
+
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_PASSAGE) -> DataFrame:
-    """Rows (id, first_word, end_word, n_words, component_id, removed): a passage that other documents have, too.
+    """Rows (id, first_word, end_word, n_words, component_id, removed): part of a passage that other documents have, too.
 
     Words are runs of letters and digits. ``component_id`` is the smallest id that has (a
-    near copy of) a paragraph of the passage; the passage is ``removed`` from all others.
-    Documents without such passages have no row; null and empty texts have none. A null
-    id makes no copy of other documents. A document's own repeats don't count.
+    near copy of) the part's paragraphs: the document that keeps them. The part is
+    ``removed`` from all others; a passage whose paragraphs are kept by several documents
+    has a row for each. So no paragraph goes from every document that has it. Documents
+    without such passages have no row; null and empty texts have none; an empty table
+    gives an empty one. A null id makes no copy of other documents. A document's own
+    repeats don't count, and rows repeated in full count once.
     """
     spark = docs.sparkSession
     use_small_batches(spark)
@@ -357,38 +448,44 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     units = materialize(narrow.mapInArrow(_unit_batches, f"id {kind}, {_UNITS}"), "repeat-units")
     more = units.where("more is not null").select(F.explode("more").alias("key"), "hash", F.lit(0).alias("n"))
     bands = units.where("n is not null").select(F.col("head").alias("key"), "hash", "n").unionAll(more)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     sorted_bands = bands.repartition("key").sortWithinPartitions("key", "hash")
-    buckets = materialize(sorted_bands.mapInArrow(_bucket_batches, "key bigint, hash bigint"), "repeat-buckets")
-    use_small_batches(spark)
+    with settings(spark, **LARGE_BATCHES):
+        buckets = materialize(sorted_bands.mapInArrow(_bucket_batches, "key bigint, hash bigint"), "repeat-buckets")
     contents = units.where("grams is not null").select("hash", "grams")
     links = _similar_links(buckets.where("key is not null"), contents)
     comps = connected_components(links, "repeat").withColumnsRenamed({"node": "hash", "component": "comp"})
     repeated = buckets.where("key is null").select("hash").distinct()
     named = repeated.join(comps, "hash", "full_outer").select("hash", F.coalesce("comp", "hash").alias("comp"))
     spots = materialize(units.join(named, "hash").select("id", "spot", "comp"), "repeat-spots")
+    discard(units, buckets)
     # As a table of its own, so that the join deals both sides anew and can split a component that very many documents share.
     spot = F.when(F.col("id").isNotNull(), F.struct("id", "spot"))
     owners = materialize(spots.groupBy("comp").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low.id != high.id"), "repeat-owners")
-    in_doc = Window.partitionBy("id").orderBy("first", "words")
     place = lambda c: F.floor(F.col(c) / 128)
     # Where else the paragraph is: in the first and the last document that have it, and by how many words it is shifted there.
     twin = lambda c: F.when(F.col(f"{c}.id") != F.col("id"), F.struct(F.col(f"{c}.id").alias("id"), (place(f"{c}.spot") - place("spot")).alias("shift"))).alias(c)
     placed = spots.join(owners, "comp").select("id", place("spot").alias("first"), (F.col("spot") % 128).alias("words"), F.col("low.id").alias("owner"), twin("low"), twin("high"))
     # Dealt by document once: equal rows and runs are then found without another exchange.
-    placed = placed.repartition("id").distinct()
-    reach = F.max(F.col("first") + F.col("words")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    aligned = F.lit(False)
-    for c in ("low", "high"):
-        for before in (F.lag("low").over(in_doc), F.lag("high").over(in_doc)):
-            aligned |= F.coalesce((before["id"] == F.col(f"{c}.id")) & (F.abs(before["shift"] - F.col(f"{c}.shift")) <= SHIFT), F.lit(False))
-    runs = placed.withColumns({"gap": F.col("first") - reach, "aligned": aligned})
+    placed = placed.where("id is not null").repartition("id").distinct()
+    in_doc = Window.partitionBy("id").orderBy("first", "words")
+    so_far = in_doc.rowsBetween(Window.unboundedPreceding, 0)
+    near = lambda a, b: F.coalesce((a["id"] == b["id"]) & (F.abs(a["shift"] - b["shift"]) <= SHIFT), F.lit(False))
+    before = {c: F.lag(c).over(in_doc) for c in ("low", "high", "owner")}
+    aligned = near(before["low"], F.col("low")) | near(before["low"], F.col("high")) | near(before["high"], F.col("low")) | near(before["high"], F.col("high"))
+    gap = F.col("first") - F.max(F.col("first") + F.col("words")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = placed.withColumns({"gap": gap, "aligned": aligned, "beside": near(before["low"], F.col("low")), "same": F.coalesce(before["owner"] == F.col("owner"), F.lit(False))})
     runs = runs.withColumn("bridged", F.coalesce((F.col("gap") > RUN_GAP) & (F.col("gap") <= BRIDGE) & F.col("aligned"), F.lit(False)))
-    runs = runs.withColumn("opens", F.when((F.col("gap") <= RUN_GAP) | F.col("bridged"), 0).otherwise(1)).withColumn("run", F.sum("opens").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = runs.groupBy("id", "run").agg(
-        F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("end_word"), F.sum("words").alias("n_words"), F.min("owner").alias("component_id"), F.max("bridged").alias("bridged")
-    )
-    least = F.when(F.col("bridged"), min(LEAST_BRIDGED, least_words)).otherwise(least_words)
-    return passages.where(F.col("n_words") >= least).select(
-        F.col("id").alias(id_column), "first_word", "end_word", "n_words", "component_id", (F.col("component_id") != F.col("id")).alias("removed")
-    )
+    runs = runs.withColumn("opens", ~(F.coalesce(F.col("gap") <= RUN_GAP, F.lit(False)) | F.col("bridged")))
+    # A part has one keeper; words between its paragraphs belong to it only where the keeper has the paragraphs as far apart.
+    kept = F.col("owner") == F.col("id")
+    runs = runs.withColumn("parts", F.col("opens") | ~F.col("same") | ((F.col("gap") > 0) & ~kept & ~F.col("beside")))
+    runs = runs.withColumns({"run": F.sum(F.col("opens").cast("long")).over(so_far), "part": F.sum(F.col("parts").cast("long")).over(so_far)})
+    whole = Window.partitionBy("id", "run")
+    runs = runs.withColumns({"run_words": F.sum("words").over(whole), "run_bridged": F.max("bridged").over(whole)})
+    core = F.when(F.col("run_bridged"), min(LEAST_BRIDGED, least_words)).otherwise(min(LEAST_CORE, least_words))
+    runs = materialize(runs.where(F.col("run_words") >= core).select("id", "run", "part", "first", "words", "owner", "low", "high", "run_words"), "repeat-runs")
+    discard(spots, owners)
+    verified = _verified(runs.where(F.col("run_words") < least_words), narrow, least_words)
+    passages = runs.where(F.col("run_words") >= least_words).unionByName(runs.where(F.col("run_words") < least_words).join(verified, ["id", "run"], "left_semi").select(*runs.columns))
+    parts = passages.groupBy("id", "part").agg(F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("end_word"), F.sum("words").alias("n_words"), F.min("owner").alias("component_id"))
+    return parts.select(F.col("id").alias(id_column), "first_word", "end_word", "n_words", "component_id", (F.col("component_id") != F.col("id")).alias("removed"))

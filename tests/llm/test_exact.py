@@ -504,7 +504,9 @@ def test_copied_passages_are_found(spark):
         found[r.doc_id].add(r.component_id)
     assert set(found) == set(range(120))
     assert all(min(found[k]) == k % 40 for k in range(120))
-    assert all(r.removed == (r.doc_id >= 40) for r in out)
+    # A part that only two of three documents have stays in the first of the two.
+    assert all(r.removed == (r.component_id != r.doc_id) for r in out)
+    assert {r.doc_id for r in out if r.removed and r.component_id == r.doc_id % 40} == set(range(40, 120))
 
 
 def test_edited_passages_are_found(spark):
@@ -526,6 +528,81 @@ def test_edited_passages_are_found(spark):
     assert all(r.component_id == r.doc_id // 2 * 2 and r.first_word >= 55 and r.end_word <= 125 for r in out)
 
 
+def test_passages_against_brute_force(spark):
+    """Documents found are those that share 50 words in a row or more; what is removed stands in its keeper and stays there."""
+    rng = random.Random(23)
+    rows = []
+    for _ in range(150):
+        p, q = sentence(rng, rng.randint(30, 70)).split(), sentence(rng, rng.randint(30, 70)).split()
+        fill = lambda: sentence(rng, rng.randint(20, 60)).split()
+        cut = rng.randint(5, 25)
+        triple = [[*fill(), *q, *fill()], [*fill(), *p, *q, *fill()], [*fill(), *p[cut:], *fill()]]
+        rng.shuffle(triple)
+        rows += [(len(rows) + k, words) for k, words in enumerate(triple)]
+    rows += [(5000 + k, sentence(rng, 200).split()) for k in range(50)]
+    words = dict(rows)
+    windows = defaultdict(set)
+    for k, text in rows:
+        for i in range(len(text) - 49):
+            windows[tuple(text[i : i + 50])].add(k)
+    shared = set().union(*(w for w in windows.values() if len(w) > 1))
+    out = repeats.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")).collect()
+    found = {r.doc_id for r in out}
+    assert found >= shared
+    # Beyond, only documents whose shared paragraphs make 50 words together, of several others.
+    eights = Counter(g for k, t in rows for g in {tuple(t[i : i + 8]) for i in range(len(t) - 7)})
+    for k in found - shared:
+        covered = set().union(*(range(i, i + 8) for i in range(len(words[k]) - 7) if eights[tuple(words[k][i : i + 8])] > 1))
+        assert len(covered) >= 50
+    gone = defaultdict(set)
+    for r in out:
+        if r.removed:
+            gone[r.doc_id].update(range(r.first_word, r.end_word))
+    assert gone
+    exact = parts = 0
+    for r in out:
+        assert r.removed == (r.component_id != r.doc_id) and r.n_words <= r.end_word - r.first_word
+        if r.removed:
+            part, keeper = words[r.doc_id][r.first_word : r.end_word], words[r.component_id]
+            stays = {tuple(keeper[i : i + 5]) for i in range(len(keeper) - 4) if not gone[r.component_id] & set(range(i, i + 5))}
+            lost = sum(tuple(part[i : i + 5]) not in stays for i in range(len(part) - 4))
+            # A paragraph of similarity 0.8 goes as a whole: at a passage's edge it may have a word of its own.
+            assert lost <= 2
+            parts, exact = parts + 1, exact + (not lost)
+    assert exact >= 0.9 * parts
+
+
+def test_words_beside_a_paragraph():
+    own = dict(enumerate("a b c d e f g h i j k l m".split()))
+    at = lambda text: dict(enumerate(text.split()))
+    assert repeats.shared_beside(own, at("a b c d e f g h i j k l m"), 4, 0, 1) == 9
+    assert repeats.shared_beside(own, at("a b c d e f g h i j k l m"), 4, 0, -1) == 5
+    assert repeats.shared_beside(own, at("a b c d e f X h i j k l m"), 4, 0, 1) == 9  # replaced
+    assert repeats.shared_beside(own, at("a b c d e f X g h i j k l m"), 4, 0, 1) == 9  # put in
+    assert repeats.shared_beside(own, at("a b c d e f h i j k l m"), 4, 0, 1) == 9  # left out
+    assert repeats.shared_beside(own, at("a b c d e f X h Y j k l m"), 4, 0, 1) == 2  # too few equal words between
+    assert repeats.shared_beside(own, {}, 4, 0, 1) == 0
+
+
+def test_bands_find_similar_paragraphs():
+    """Measured recall of the bands over pairs of paragraphs at the least similarity."""
+    rng = random.Random(24)
+    own = repeats.Paragraphs()
+    met = pairs = 0
+    while pairs < 1000:
+        a = sentence(rng, rng.randint(20, 60)).split()
+        b = list(a)
+        for _ in range(rng.randint(1, 2)):
+            b[rng.randrange(len(b))] = "changed"
+        grams = [repeats.shingles(own.symbols(" ".join(x))) for x in (a, b)]
+        sets = [frozenset(g.tolist()) for g in grams]
+        if 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.86:
+            pairs += 1
+            keys = [repeats.band_keys(g, np.array([0]), np.array([len(a)])) for g in grams]
+            met += bool((keys[0] == keys[1]).any())
+    assert met >= 0.97 * pairs
+
+
 def test_near_copies_link():
     rng = random.Random(5)
     own = repeats.Paragraphs()
