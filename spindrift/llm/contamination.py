@@ -13,8 +13,9 @@ them fall on starts of the item and each is a chance to agree. Candidates are ve
 whole item and its best place in the document.
 
 Items longer than ``PIECE`` words are entered piece by piece: of an item within the edit
-limit, some piece is too. Items shorter than ``SHORT`` words have no room for sampling
-and are looked up as exact word sequences.
+limit, some piece is too. Items shorter than ``SHORT`` words have no room for sampling:
+of one more piece than edits are allowed some piece stays whole, so each piece is looked
+up as it is, and the item is verified around it. None of them is missed.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ EDIT_SHARE = 0.2
 STRIDE = 4
 STARTS = 12
 PIECE = 64
-SHORT = 8
+SHORT = 13
 #: Least words of the items of a class; a class has tables of its own.
-CLASSES = (8, 12, 18, 27, 40)
+CLASSES = (13, 18, 27, 40)
 #: Tables of a class, and steps that a table samples.
 TABLES = 20
 SAMPLES = 4
@@ -124,17 +125,15 @@ class Index:
     def __init__(self, items: list[Item]):
         self.items = items
         entries: dict[int, list[tuple[int, int]]] = defaultdict(list)  # least words of a class: (item, first word)
-        self.exact: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        #: Halves of short items that may have an edit, which leaves one of them intact: by words and key, (item, first word).
-        self.halves: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        #: Pieces of short items: by words and key, (item, first word).
+        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for number, item in enumerate(items):
             n = len(item.symbols)
             if n < SHORT:
-                if n:
-                    self.exact[n][int(_sequence_keys(np.array(item.symbols, np.uint64), n)[0])].append(number)
-                if int(EDIT_SHARE * n + 1e-9):
-                    for low, high in ((0, n // 2), (n // 2, n)):
-                        self.halves[high - low][int(_sequence_keys(np.array(item.symbols[low:high], np.uint64), high - low)[0])].append((number, low))
+                pieces = int(EDIT_SHARE * n + 1e-9) + 1
+                for k in range(pieces if n else 0):
+                    low, high = k * n // pieces, (k + 1) * n // pieces
+                    self.seeds[high - low][int(_sequence_keys(np.array(item.symbols[low:high], np.uint64), high - low)[0])].append((number, low))
                 continue
             pieces = max(1, -(-n // PIECE))
             for k in range(pieces):
@@ -269,16 +268,7 @@ def matches(index: Index, symbols: np.ndarray, starts_of: np.ndarray, lengths: n
                 continue
             tried.add((i, cell))
             settle(t, i, p - o - slack - STRIDE, p - o + n + slack + STRIDE)
-    for n, table in index.exact.items():
-        keys = _sequence_keys(symbols, n)
-        wanted = np.fromiter(table, np.uint64, len(table))
-        for p in np.flatnonzero(np.isin(keys, wanted)).tolist():
-            t = int(np.searchsorted(starts_of, p, "right") - 1)
-            for i in table[int(keys[p])]:
-                if (t, i) not in found and tuple(symbols[p : p + n].tolist()) == index.items[i].symbols:
-                    b = int(starts_of[t])
-                    found[t, i] = 0, p - b, p - b + n
-    for n, table in index.halves.items():
+    for n, table in index.seeds.items():
         keys = _sequence_keys(symbols, n)
         wanted = np.fromiter(table, np.uint64, len(table))
         for p in np.flatnonzero(np.isin(keys, wanted)).tolist():
@@ -378,7 +368,11 @@ def _clean_batches(shared, text_at: int):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
+    """The rows of ``docs`` that hold no item, with all their columns.
+
+    Null and empty texts are clean and stay, as do repeated rows; items without words
+    match nothing; an empty benchmark leaves all rows, an empty table gives an empty one.
+    """
     spark = docs.sparkSession
     use_small_batches(spark)
     for rows in benchmark_blocks(benchmark, item_column, item_text_column):

@@ -409,6 +409,50 @@ def test_recall_of_edited_items(share, least):
     assert found >= least * len(items)
 
 
+@pytest.mark.parametrize(("shortest", "longest"), [(5, 7), (8, 12), (13, 17), (18, 26), (27, 39), (40, 64), (65, 150)])
+def test_recall_by_length_at_the_allowed_edits(shortest, longest):
+    """As many edits as the limit allows, at different words of the item."""
+    rng = random.Random(shortest)
+    items = [sentence(rng, rng.randint(shortest, longest)) for _ in range(150)]
+    searcher = contamination.Searcher(list(enumerate(items)))
+    found = 0
+    for k, item in enumerate(items):
+        words = item.split()
+        for at in sorted(rng.sample(range(len(words)), int(0.2 * len(words) + 1e-9)), reverse=True):
+            words[at : at + 1] = rng.choice([["edited"], [], ["edited", words[at]]])
+        found += (0, k) in searcher.search([f"{sentence(rng, rng.randint(0, 40))} {' '.join(words)} {sentence(rng, 30)}"])
+    assert found == len(items) if longest < contamination.SHORT else found >= 0.95 * len(items)
+
+
+def test_contamination_against_brute_force(spark):
+    """Every pair within the edit limit, and no other, with its exact distance."""
+    rng = random.Random(12)
+    items = [(k, sentence(rng, rng.choice([1, 3, 5, 8, 12, 14, 20, 30, 70])).split()) for k in range(30)]
+    rows = []
+    for k in range(60):
+        words = sentence(rng, rng.randint(0, 60)).split()
+        for _ in range(rng.randint(0, 2)):
+            part = list(items[rng.randrange(30)][1])
+            for _ in range(rng.randint(0, len(part) // 4)):
+                at = rng.randrange(len(part))
+                part[at : at + 1] = rng.choice([["edited"], [], ["edited", part[at]]])
+                part = part or ["edited"]
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        rows.append((k, words))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.edit_distance for r in contamination.find_contamination(docs, bench).collect()}
+    expected = {}
+    for d, text in rows:
+        for i, item in items:
+            distance = slow_edit(item, text)
+            if distance <= int(0.2 * len(item) + 1e-9) and distance < len(item):
+                expected[d, i] = distance
+    assert set(found) <= set(expected) and all(found[k] >= expected[k] for k in found)
+    assert len(found) >= 0.98 * len(expected) and sum(found[k] == expected[k] for k in found) >= 0.98 * len(found)
+
+
 def test_short_items_with_an_edit():
     rng = random.Random(17)
     items = [sentence(rng, n) for n in (4, 5, 6, 7)]
