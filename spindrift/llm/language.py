@@ -18,15 +18,14 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import id_bucket, use_small_batches
 from spindrift.llm.pieces import DEFAULT_MODEL, SPACE, Vocabulary, read_vocabulary
 
-#: The model is fitted on a bounded sample: about this many documents of a language, and its commonest words.
+#: The model is fitted on a bounded sample: about this many documents of a language, and all their words.
 FIT_DOCS = 2000
-FIT_WORDS = 12_000
 ROUNDS = 3
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
@@ -58,45 +57,72 @@ class Lattice:
 
     def arcs(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) by end; piece -1 for a character that is no piece."""
-        marked = SPACE + word
-        out: list[tuple[int, int, int]] = []
-        single = [False] * (len(marked) + 1)
-        for last, (length, k) in self.automaton.iter(marked):
-            out.append((last + 1 - length, last + 1, k))
-            if length == 1:
-                single[last + 1] = True
-        lacking = [(e - 1, e, -1) for e in range(1, len(marked) + 1) if not single[e]]
-        return sorted(out + lacking, key=lambda a: a[1]) if lacking else out
-
-
-def expected_counts(lattice: Lattice, words: list[tuple[str, float]], probability: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over weighted words, under given probabilities."""
-    counts = np.zeros(lattice.size)
-    table = probability.tolist()
-    for word, weight in words:
-        arcs = lattice.arcs(word)
-        n = len(word) + 1
-        ahead = [1.0] + [0.0] * n
-        for s, e, k in arcs:
-            ahead[e] += ahead[s] * (table[k] if k >= 0 else UNKNOWN)
-        if not ahead[n]:
-            continue
-        behind = [0.0] * n + [1.0]
-        share = weight / ahead[n]
-        for s, e, k in reversed(arcs):
-            p = behind[e] * (table[k] if k >= 0 else UNKNOWN)
-            behind[s] += p
-            if k >= 0:
-                counts[k] += ahead[s] * p * share
-    return counts
+        starts, before, node, piece = self.side_by_side([word])
+        return sorted(zip(before.tolist(), node.tolist(), np.where(piece < self.size, piece, -1).tolist(), strict=True), key=lambda a: a[1])
+
+    def side_by_side(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first node of each word and the end, then of each arc: node before, node, piece) of many words' lattices in a row.
+
+        A word of n characters has n + 2 nodes, as a space mark goes before it. A character
+        that is no piece has an arc of its own, whose piece is numbered beyond the last.
+        """
+        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        joined = "".join([SPACE + w for w in words])
+        codes = np.fromiter((last << 40 | length << 32 | piece for last, (length, piece) in self.automaton.iter(joined)), np.int64)
+        last, length, piece = codes >> 40, (codes >> 32) & 0xFF, codes & 0xFFFFFFFF
+        lacking = np.ones(len(joined), bool)
+        lacking[last[length == 1]] = False
+        extra = np.flatnonzero(lacking)
+        last = np.concatenate([last, extra])
+        length = np.concatenate([length, np.ones(len(extra), np.int64)])
+        piece = np.concatenate([piece, np.full(len(extra), self.size)])
+        # Each word before shifts the nodes by one more than its characters. A piece has a space mark at its start only, so none lies in two words.
+        node = last + 1 + np.repeat(np.arange(len(words)), lengths)[last]
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        return starts, node - length, node, piece
+
+
+class Expectation:
+    """Expected uses of pieces over weighted words, in logarithms, so that words of any length count."""
+
+    def __init__(self, lattice: Lattice, words: list[tuple[str, float]]):
+        self.size = lattice.size
+        starts, self.before, self.node, self.piece = lattice.side_by_side([w for w, _ in words])
+        self.starts, self.ends, self.nodes = starts[:-1], starts[1:] - 1, int(starts[-1])
+        word = np.repeat(np.arange(len(words)), np.diff(starts))
+        self.word, self.weight = word[self.node], np.array([c for _, c in words])
+        place = np.arange(self.nodes) - self.starts[word] if len(words) else np.empty(0, np.int64)
+        self.forward = self._steps(self.node, place)
+        self.backward = self._steps(self.before, place)[::-1]
+
+    def _steps(self, at: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Arcs grouped by the place of ``at`` in their words: (arcs, where a new node begins, those nodes)."""
+        order = np.lexsort((at, place[at]))
+        out = []
+        for part in np.split(order, np.flatnonzero(np.diff(place[at][order])) + 1) if len(order) else []:
+            here = at[part]
+            first = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+            out.append((part, first, here[first]))
+        return out
+
+    def counts(self, probability: np.ndarray) -> np.ndarray:
+        logs = np.log(np.append(probability, UNKNOWN))[self.piece]
+        ahead, behind = np.full(self.nodes, -np.inf), np.full(self.nodes, -np.inf)
+        ahead[self.starts], behind[self.ends] = 0.0, 0.0
+        for arcs, first, nodes in self.forward:
+            ahead[nodes] = np.logaddexp.reduceat(ahead[self.before[arcs]] + logs[arcs], first)
+        for arcs, first, nodes in self.backward:
+            behind[nodes] = np.logaddexp.reduceat(behind[self.node[arcs]] + logs[arcs], first)
+        share = np.exp(ahead[self.before] + logs + behind[self.node] - ahead[self.ends][self.word]) * self.weight[self.word]
+        return np.bincount(self.piece, share, self.size + 1)[: self.size]
 
 
 def fit_pieces(lattice: Lattice, words: list[tuple[str, float]], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from (word, count) rows."""
-    usable = [(w, c) for w, c in words if len(w) <= LONG_WORD]
+    parts = [Expectation(lattice, words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)]
     probability = np.full(lattice.size, 1e-3)
     for _ in range(rounds):
-        counts = expected_counts(lattice, usable, probability) + SMOOTHING
+        counts = sum((p.counts(probability) for p in parts), np.zeros(lattice.size)) + SMOOTHING
         probability = counts / counts.sum()
     return probability
 
@@ -140,33 +166,20 @@ class Scorer:
             out[k] = self.long_word(words[k])
         if not short:
             return out
-        lengths = np.array([len(words[k]) + 1 for k in short], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        total = int(lengths.sum())
-        joined = "".join([SPACE + words[k] for k in short])
-        codes = np.fromiter((last << 40 | length << 32 | piece for last, (length, piece) in self.lattice.automaton.iter(joined)), np.int64)
-        last, size, piece = codes >> 40, (codes >> 32) & 0xFF, codes & 0xFFFFFFFF
-        lacking = np.ones(total, bool)
-        lacking[last[size == 1]] = False
-        extra = np.flatnonzero(lacking)
-        last = np.concatenate([last, extra])
-        size = np.concatenate([size, np.ones(len(extra), np.int64)])
-        piece = np.concatenate([piece, np.full(len(extra), len(self.probability) - 1)])
-        word = np.repeat(np.arange(len(short)), lengths)[last]
-        end = last + 1 - starts[word]
-        # A word of n characters has n + 1 nodes, so each word before shifts the nodes by one more.
-        node = last + 1 + word
+        starts, before, node, piece = self.lattice.side_by_side([words[k] for k in short])
+        word = np.repeat(np.arange(len(short)), np.diff(starts))
+        end = node - starts[:-1][word[node]]
         order = np.lexsort((node, end))
-        node, before, piece, end = node[order], (node - size)[order], piece[order], end[order]
-        ahead = np.zeros((total + len(short), len(self.languages)))
-        ahead[starts + np.arange(len(short))] = 1.0
-        edges = np.searchsorted(end, np.arange(1, int(lengths.max()) + 2))
+        node, before, piece, end = node[order], before[order], piece[order], end[order]
+        ahead = np.zeros((int(starts[-1]), len(self.languages)))
+        ahead[starts[:-1]] = 1.0
+        edges = np.searchsorted(end, np.arange(1, int(end[-1]) + 2))
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             if low < high:
                 here = node[low:high]
                 firsts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
                 ahead[here[firsts]] = np.add.reduceat(ahead[before[low:high]] * self.probability[piece[low:high]], firsts, axis=0)
-        out[short] = np.log(ahead[starts + lengths + np.arange(len(short))])
+        out[short] = np.log(ahead[starts[1:] - 1])
         return out
 
     def remember(self, words: set[str]) -> None:
@@ -222,7 +235,8 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", i
     """Fit on rows of ``docs`` with a language and a text.
 
     The sample holds about ``FIT_DOCS`` documents of each language, by a hash of the id
-    and text, and the ``FIT_WORDS`` commonest words in them.
+    and text; all their words count, whatever their length. Repeated rows count each. With
+    no labelled row (an empty table, null languages) nothing is learned.
     """
     spark = docs.sparkSession
     use_small_batches(spark)
@@ -235,9 +249,8 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", i
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"), F.lit(1_000_000)) / F.lit(1e6)
     sample = labelled.where(draw < share).select("lang", "text")
     counted = sample.mapInArrow(_word_batches, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    common = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= FIT_WORDS)
     words: dict[str, list[tuple[str, float]]] = {}
-    for row in common.select("lang", "word", "n").collect():
+    for row in counted.collect():
         words.setdefault(row["lang"], []).append((row["word"], float(row["n"])))
     languages = tuple(sorted(words))
     lattice = Lattice(vocabulary)
@@ -268,6 +281,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
 
     A null text, or one without a letter, is 'und' with score 0; so is every text if
     nothing was learned. Equal likelihoods go to the first language in code point order.
+    Repeated rows come back as often; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     use_small_batches(spark)
@@ -278,7 +292,11 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
 
 
 def identify_languages(docs: DataFrame, model: str = DEFAULT_MODEL, folds: int = 5, held_fold: int = 0) -> DataFrame:
-    """Learn from documents outside the held-out fold, predict all: doc_id, held_out, lang_pred, score."""
+    """Learn from documents outside the held-out fold, predict all: doc_id, held_out, lang_pred, score.
+
+    One row for each row of ``docs``; nulls, empty texts and empty tables as in
+    :func:`predict` and :func:`fit`. A null id counts as the empty text in the fold's hash.
+    """
     held = id_bucket("doc_id", folds) == held_fold
     fitted = fit(docs.where(~held), model=model)
     return predict(docs, fitted).select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -320,6 +320,69 @@ def test_forward_pass_sums_all_segmentations():
     assert scorer.texts([None, "", "123 !?", "abc"])[:3] == [("und", 0.0)] * 3
 
 
+def test_expected_uses_of_pieces():
+    """Forward-backward against all segmentations written out, long words included."""
+    vocabulary = small_vocabulary()
+    lattice = language.Lattice(vocabulary)
+    probability = np.random.default_rng(1).dirichlet(np.ones(len(vocabulary.pieces)))
+    number = {p: k for k, p in enumerate(vocabulary.pieces)}
+
+    def ways(text):
+        if not text:
+            yield (), 1.0
+        for k in range(1, len(text) + 1):
+            if text[:k] in number:
+                piece, p = (number[text[:k]],), probability[number[text[:k]]]
+            elif k == 1:
+                piece, p = (), language.UNKNOWN
+            else:
+                continue
+            for rest, q in ways(text[k:]):
+                yield piece + rest, p * q
+
+    words = [("abc", 2.0), ("a", 1.0), ("cabab", 5.0), ("zaz", 3.0), ("bcabc", 1.0)]
+    expected = np.zeros(lattice.size)
+    for word, weight in words:
+        found = list(ways("▁" + word))
+        total = sum(p for _, p in found)
+        for used, p in found:
+            for k in used:
+                expected[k] += weight * p / total
+    assert np.allclose(language.Expectation(lattice, words).counts(probability), expected)
+    long = language.Expectation(lattice, [("abc" * 400, 1.0)]).counts(probability)
+    assert np.isfinite(long).all() and long.sum() > 400
+    assert np.allclose(language.fit_pieces(lattice, words).sum(), 1)
+
+
+def test_languages_against_brute_force(spark):
+    """Learnt probabilities and predictions of the query, over all segmentations word by word."""
+    rng = random.Random(5)
+    stock = {lang: [sentence(rng, 1) for _ in range(12)] for lang in ("aa", "bb")}
+    rows = [(k, " ".join(rng.choices(stock[lang], k=6)), lang) for k, lang in enumerate(["aa", "bb"] * 30)] + [(100, "4 !", "aa"), (101, None, "bb"), (102, "kept zzz", None)]
+    model = language.fit(spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5], "doc_id long, text string, lang string"))
+    number = {p: k for k, p in enumerate(model.vocabulary.pieces)}
+
+    def likelihood(word, column):
+        ahead = [1.0] + [0.0] * (len(word) + 1)
+        marked = "▁" + word
+        for e in range(1, len(marked) + 1):
+            for s in range(e):
+                piece = number.get(marked[s:e])
+                ahead[e] += ahead[s] * (model.probability[piece, column] if piece is not None else language.UNKNOWN if e - s == 1 else 0.0)
+        return ahead[-1]
+
+    out = {r.doc_id: r for r in language.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == len(rows)
+    for k, text, _ in rows:
+        words = language.words_of(text or "")
+        if not words:
+            assert (out[k].lang_pred, out[k].score) == ("und", 0.0)
+            continue
+        logs = np.array([sum(math.log(likelihood(w, c)) for w in words) for c in range(2)])
+        assert out[k].lang_pred == model.languages[int(logs.argmax())]
+        assert math.isclose(out[k].score, 1 / np.exp(logs - logs.max()).sum(), rel_tol=1e-9)
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(4)
     stock = {"fr": ["le", "chat", "mange", "une", "pomme", "rouge"], "de": ["der", "hund", "läuft", "über", "straße"], "en": ["the", "dog", "walks", "over", "streets"]}
