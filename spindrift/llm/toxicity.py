@@ -1,14 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Two transducers are composed. The lexicon reads a word's letters and writes a symbol:
-insult, threat, target, negation, report, or nothing. The clause grammar reads a
-clause's symbols and writes a weight: an insult counts its lexical weight, more with a
-target nearby, less in the scope of a negation or in reported speech; a threat counts
-only with a target. A text's score is a logistic function of its clauses' weights.
+The lexicon transducer reads a word's letters and writes a symbol: insult, threat,
+target, negation, report or plain word, an insult with its lexical weight. Four more
+read a clause's symbols one after the other, composed into one machine: the first marks
+insults and threats in the scope of a negation, the second those in reported speech,
+the third those with a target nearby (before, or a few words later, which it guesses and
+must keep), and the last writes a weight for each marked match: its lexical weight and
+the weights of its marks, or nothing, if that is more. An untargeted threat is none. A
+clause weighs what its best path does. A text's score is a logistic function of its
+clauses' weights.
 
 Words of the small closed classes are fixed. Insults are patterns (a word, or a word
 beginning) that labelled texts show: statistics over a bounded sample of labelled rows
-choose and weigh them, beside a short fixed list that serves where labels lack.
+choose and weigh them, beside a short fixed list that serves where labels lack. The
+marks' weights are learned from the same rows, from given ones on; however the rows
+speak, a mark keeps half of its given weight, so that a negated or reported insult never
+counts in full.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import id_bucket, use_small_batches
+from spindrift.llm.transducers import Transducer, best_path, build, compose
 
 #: Labelled rows of either class that the classifier is fitted on, about.
 FIT_TOXIC = 5_000
 FIT_CLEAN = 10_000
-#: Patterns that are looked at, and that a lexicon may hold.
-MOST_CANDIDATES = 4_000
-MOST_PATTERNS = 500
 #: A toxic text with so many chosen patterns needs no more.
 ENOUGH = 4
 #: A pattern's log odds ratio, the root of its likelihood ratio, and the toxic texts that have it must reach these.
@@ -76,14 +82,15 @@ dit disait appelé écrit selon
 dijo llamó escribió según
 """.split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, WORD, END = "insult", "threat", "target", "negation", "report", "word", "end"
+NEGATED, REPORTED, TARGETED, UNTARGETED = "negated", "reported", "targeted", "untargeted"
 #: How far, in words, a negation and a target reach.
 NEGATION_REACH = 3
 TARGET_REACH = 4
-#: Weights of the clause grammar's arcs.
-NEGATED, REPORTED = 0.25, 0.5
-TARGET_BONUS = 0.5
-THREAT_WEIGHT = 3.0
+#: Given weights of the marks and of a targeted threat; the variance of the learned ones around them.
+GIVEN = {NEGATED: -2.5, REPORTED: -2.5, UNTARGETED: -0.75, THREAT: 3.0}
+VARIANCE = 1.0
+LEAST_THREAT = 0.5
 SEED_WEIGHT = 3.0
 HIGHEST_WEIGHT = 6.0
 REMEMBERED = 300_000
@@ -94,22 +101,43 @@ _ENDS = frozenset(".!?;:\n")
 
 @dataclass
 class Lexicon:
-    """The lexicon transducer: weights of insults as whole words and as word beginnings."""
+    """The lexicon transducer: insults as whole words and as word beginnings with their weights, and the closed classes.
+
+    Its states are the beginnings of what it knows, its arcs letters.
+    """
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, SEED_WEIGHT))
     beginnings: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.known: dict[str, tuple[int, float] | None] = {}
-        self.closed = {w: (kind, 0.0) for kind, group in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in group}
-        self.closed |= {e: (END, 0.0) for e in _ENDS}
-
-    def read(self, token: str) -> tuple[int, float] | None:
-        """The symbol of a token, None for an ordinary word."""
-        weight = max([self.words.get(token, 0.0), *(self.beginnings.get(token[:k], 0.0) for k in BEGINNINGS if k <= len(token))])
-        return (INSULT, weight) if weight > 0 else self.closed.get(token)
-
-    def symbols(self, tokens: list[str]) -> list[tuple[int, float] | None]:
+        self.known: dict[str, tuple[str, float]] = {}
+        self.arcs: dict[tuple[int, str], int] = {}
+        #: What a word writes that ends in a state, and what any word writes that goes through it.
+        self.ending: dict[int, tuple[str, float]] = {}
+        self.passing: dict[int, float] = {}
+        for kind, group in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (END, _ENDS)):
+            self.ending |= {self._state(w): (kind, 0.0) for w in group}
+        self.ending |= {self._state(w): (INSULT, weight) for w, weight in self.words.items()}
+        self.passing = {self._state(w): weight for w, weight in self.beginnings.items()}
+
+    def _state(self, letters: str) -> int:
+        state = 0
+        for letter in letters:
+            state = self.arcs.setdefault((state, letter), len(self.arcs) + 1)
+        return state
+
+    def read(self, token: str) -> tuple[str, float]:
+        """(symbol, weight) of a token: the heaviest insult it holds, or its class."""
+        state, weight = 0, 0.0
+        for letter in token:
+            state = self.arcs.get((state, letter), -1)
+            if state < 0:
+                break
+            weight = max(weight, self.passing.get(state, 0.0))
+        kind, own = self.ending.get(state, (WORD, 0.0))
+        return (INSULT, max(weight, own)) if weight > 0 or kind == INSULT else (kind, own)
+
+    def symbols(self, tokens: list[str]) -> list[tuple[str, float]]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -119,65 +147,100 @@ class Lexicon:
         return [known[t] for t in tokens]
 
 
-def clause_weight(symbols: list[tuple[int, float] | None]) -> float:
-    """Run the clause grammar over one clause's symbols."""
-    negation = target = 0
-    reported = False
-    waiting: list[list] = []  # matches that a target may still follow: words left, kind, weight
-    total = 0.0
-    for symbol in symbols:
-        kind, weight = symbol or (None, 0.0)
-        negation, target = max(0, negation - 1), max(0, target - 1)
-        if waiting:
-            for match in waiting:
-                match[0] -= 1
-            waiting = [m for m in waiting if m[0] > 0]
-        scale = (NEGATED if negation else 1.0) * (REPORTED if reported else 1.0)
+_KINDS = (INSULT, THREAT, TARGET, NEGATION, REPORT, WORD)
+_MATCHES = (INSULT, THREAT)
+_FREE = (0, 0.0)
+
+
+def negation_scope(alphabet) -> Transducer:
+    """Marks matches up to ``NEGATION_REACH`` words after a negation; a state is the words left of its scope."""
+
+    def step(left, symbol):
+        written = (*symbol, NEGATED) if left and symbol[0] in _MATCHES else symbol
+        return [(NEGATION_REACH if symbol[0] == NEGATION else max(0, left - 1), written, _FREE)]
+
+    return build(0, alphabet, step, lambda _: True)
+
+
+def reported_speech(alphabet) -> Transducer:
+    """Marks matches after a word of reporting, to the end of the clause."""
+
+    def step(reported, symbol):
+        return [(reported or symbol[0] == REPORT, (*symbol, REPORTED) if reported and symbol[0] in _MATCHES else symbol, _FREE)]
+
+    return build(False, alphabet, step, lambda _: True)
+
+
+def target_nearby(alphabet) -> Transducer:
+    """Marks matches as targeted or not.
+
+    A state holds how many words the last target still reaches, and within how many words
+    a target must follow, as a match before was marked for it. A reading whose target
+    doesn't come has no path; one that could have it may also do without.
+    """
+
+    def step(state, symbol):
+        reach, due = state
+        if symbol[0] == TARGET:
+            return [((TARGET_REACH, 0), symbol, _FREE)]
+        if due == 1:
+            return []
+        reach_after, due_after = max(0, reach - 1), max(0, due - 1)
+        if symbol[0] not in _MATCHES:
+            return [((reach_after, due_after), symbol, _FREE)]
+        if reach:
+            return [((reach_after, due_after), (*symbol, TARGETED), _FREE)]
+        return [
+            ((0, due_after), (*symbol, UNTARGETED), _FREE),
+            ((0, min(due_after or TARGET_REACH, TARGET_REACH)), (*symbol, TARGETED), _FREE),
+        ]
+
+    return build((0, 0), alphabet, step, lambda s: s[1] == 0)
+
+
+def match_weights(alphabet, weights: dict[str, float]) -> Transducer:
+    """Writes of each match whether it counts; it does with its lexical weight and the weights of its marks, or not at all."""
+
+    def step(state, symbol):
+        kind, marks = symbol[0], symbol[1:]
+        skip = (0, (*symbol, "skipped") if kind in _MATCHES else symbol, _FREE)
+        added = sum(weights.get(m, 0.0) for m in marks)
         if kind == INSULT:
-            total += weight * scale
-            if target:
-                total += TARGET_BONUS * scale
-            else:
-                waiting.append([TARGET_REACH, TARGET_BONUS * scale])
-        elif kind == THREAT:
-            if target:
-                total += THREAT_WEIGHT * scale
-            else:
-                waiting.append([TARGET_REACH, THREAT_WEIGHT * scale])
-        elif kind == TARGET:
-            target = TARGET_REACH + 1
-            total += sum(m[1] for m in waiting)
-            waiting = []
-        elif kind == NEGATION:
-            negation = NEGATION_REACH + 1
-        elif kind == REPORT:
-            reported = True
-    return total
-
-
-def text_features(lexicon: Lexicon, text: str | None) -> tuple[float, float, float]:
-    """(weight of all clauses, weight of a hundred words, weight of the heaviest clause), damped."""
+            return [skip, (0, (*symbol, "counted"), (1, added))]
+        if kind == THREAT and UNTARGETED not in marks:
+            return [skip, (0, (*symbol, "counted"), (0, weights[THREAT] + added))]
+        return [skip]
+
+    return build(0, alphabet, step, lambda _: True)
+
+
+def _written(machine: Transducer) -> list:
+    return list(dict.fromkeys(w for arcs in machine.arcs.values() for _, w, _ in arcs))
+
+
+def clause_grammar(weights: dict[str, float]) -> Transducer:
+    """The composition: what reads a clause's symbols and writes its marked matches and their weight."""
+    machine = negation_scope([(k,) for k in _KINDS])
+    for following in (reported_speech, target_nearby):
+        machine = compose(machine, following(_written(machine)))
+    return compose(machine, match_weights(_written(machine), weights))
+
+
+def clauses(lexicon: Lexicon, text: str | None) -> tuple[list[list[tuple[str, float]]], int]:
+    """(symbols of each clause that holds a match, tokens of the text)."""
     tokens = _TOKEN.findall((text or "").lower())
+    out, start, hit = [], 0, False
     symbols = lexicon.symbols(tokens)
-    total = best = 0.0
-    start = 0
-    hit = False
-    for at, symbol in enumerate(symbols):
-        if symbol is None:
-            continue
-        if symbol[0] == END:
+    for at, (kind, _) in enumerate(symbols):
+        if kind == END:
             if hit:
-                weight = clause_weight(symbols[start:at])
-                total, best = total + weight, max(best, weight)
+                out.append(symbols[start:at])
             start, hit = at + 1, False
-        elif symbol[0] in (INSULT, THREAT):
+        elif kind in _MATCHES:
             hit = True
     if hit:
-        weight = clause_weight(symbols[start:])
-        total, best = total + weight, max(best, weight)
-    if not total:
-        return 0.0, 0.0, 0.0
-    return math.log1p(total), math.log1p(100 * total / len(tokens)), math.log1p(best)
+        out.append(symbols[start:])
+    return out, len(tokens)
 
 
 @dataclass
@@ -185,10 +248,26 @@ class Model:
     lexicon: Lexicon
     #: Intercept and the weights of the features.
     coefficients: tuple[float, float, float, float] = (-3.0, 1.0, 0.5, 0.5)
+    #: Weights of the marks and of a targeted threat.
+    weights: dict[str, float] = field(default_factory=lambda: dict(GIVEN))
+
+    @cached_property
+    def grammar(self) -> Transducer:
+        return clause_grammar(self.weights)
+
+    def read(self, clause: list[tuple[str, float]]) -> tuple[float, list]:
+        """(weight, marked matches and other symbols) of a clause."""
+        return best_path(self.grammar, [((kind,), weight) for kind, weight in clause])
+
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """(weight of all clauses, weight of a hundred words, weight of the heaviest clause), damped."""
+        matched, n = clauses(self.lexicon, text)
+        found = [self.read(c)[0] for c in matched]
+        total = sum(found)
+        return (math.log1p(total), math.log1p(100 * total / n), math.log1p(max(found))) if total else (0.0, 0.0, 0.0)
 
     def score(self, text: str | None) -> float:
-        x = text_features(self.lexicon, text)
-        z = self.coefficients[0] + sum(c * v for c, v in zip(self.coefficients[1:], x, strict=True))
+        z = self.coefficients[0] + sum(c * v for c, v in zip(self.coefficients[1:], self.features(text), strict=True))
         return 1.0 / (1.0 + math.exp(-min(max(z, -40.0), 40.0)))
 
 
@@ -260,7 +339,7 @@ def choose_patterns(patterns: list[str], labels: np.ndarray, found: list[np.ndar
     explained = np.zeros(len(found), np.int64)
     chosen: list[int] = []
     open_to = np.ones(len(patterns), bool)
-    while len(chosen) < MOST_PATTERNS:
+    while True:
         speaks = explained[text] < ENOUGH
         toxic = np.bincount(pattern[speaks], minlength=len(patterns)).astype(float)
         weight, bound, z = log_odds(toxic, clean, n_toxic, n_clean)
@@ -309,17 +388,60 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
-def _feature_batches(lexicon: Lexicon):
+def _feature_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_features(lexicon, t) for t in batch.column(1).to_pylist()]
+            rows = [model.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(3))], names=["label", "a", "b", "c"])
 
     return run
 
 
+def _mark_batches(model: Model):
+    """Rows (label, kind, mark, with, n): matches of a kind that have a mark, or don't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[int, str, str, bool]] = Counter()
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for clause in clauses(model.lexicon, text)[0]:
+                    for kind, *marks in model.read(clause)[1]:
+                        if kind in _MATCHES:
+                            counts.update((label, kind, mark, mark in marks) for mark in (NEGATED, REPORTED, UNTARGETED))
+        rows = list(counts.items())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[i] for k, _ in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.bool_()))] + [pa.array([n for _, n in rows], pa.int64())],
+            names=["label", "kind", "mark", "has", "n"],
+        )
+
+    return run
+
+
+def learned_weights(counts: dict[tuple[int, str, str, bool], float], n_toxic: float, n_clean: float) -> dict[str, float]:
+    """Weights of the marks from counts of (label, kind, mark, whether the match has it).
+
+    A mark's weight is the log odds ratio of toxic to clean matches with it against those
+    without, drawn to the given weight as its variance is large, and half of the given
+    one at least. A targeted threat weighs the log ratio of how often it comes.
+    """
+    out = {}
+    for mark in (NEGATED, REPORTED, UNTARGETED):
+        cells = [counts.get((label, INSULT, mark, has), 0) + 0.5 for has in (True, False) for label in (1, 0)]
+        ratio, variance = math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3]), sum(1 / c for c in cells)
+        out[mark] = min((GIVEN[mark] / VARIANCE + ratio / variance) / (1 / VARIANCE + 1 / variance), GIVEN[mark] / 2)
+    cells = [counts.get((label, THREAT, UNTARGETED, False), 0) + 0.5 for label in (1, 0)]
+    ratio, variance = math.log(cells[0] / cells[1]) - math.log((n_toxic + 1) / (n_clean + 1)), sum(1 / c for c in cells)
+    drawn = (GIVEN[THREAT] / VARIANCE + ratio / variance) / (1 / VARIANCE + 1 / variance)
+    return out | {THREAT: min(max(drawn, LEAST_THREAT), HIGHEST_WEIGHT)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
-    """Fit on documents with a label 0 or 1; with none of either class the fixed lexicon and weights serve."""
+    """Fit on documents with a label 0 or 1; with none of either class the fixed lexicon and weights serve.
+
+    Null texts, null ids and other labels don't count; a document labelled twice, or
+    repeated, counts as often. What is fitted on is bounded by ``FIT_TOXIC`` and
+    ``FIT_CLEAN`` rows; of these, every pattern that speaks clearly enough is looked at.
+    """
     use_small_batches(docs.sparkSession)
     usable = labels.select(F.col(f"`{id_column}`").alias("of_id"), F.col(f"`{label_column}`").cast("int").alias("label")).where("of_id is not null and label in (0, 1)").distinct()
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -335,17 +457,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     counted = sample.mapInArrow(_pattern_batches, "pattern string, toxic bigint, clean bigint").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = (F.col("toxic") + 0.5) / n_toxic / ((F.col("clean") + 0.5) / n_clean)
     candidates = counted.where((F.col("toxic") >= LEAST_TEXTS) & (lift >= math.exp(LEAST_WEIGHT) / 2))
-    rows = candidates.orderBy(F.desc(F.log(lift) * F.sqrt("toxic")), "pattern").limit(MOST_CANDIDATES).collect()
-    patterns = specific([(r["pattern"], r["toxic"]) for r in rows])
+    rows = candidates.orderBy("pattern").collect()
+    # Texts that are explained only lower a pattern's figures, so what falls short now never is chosen.
+    weight, _, z = log_odds(np.array([r["toxic"] for r in rows], float), np.array([r["clean"] for r in rows], float), n_toxic, n_clean)
+    patterns = specific([(r["pattern"], r["toxic"]) for r, enough in zip(rows, (weight >= LEAST_WEIGHT) & (z >= LEAST_Z), strict=True) if enough])
     seen = sample.mapInArrow(_found_batches(patterns), "label int, found array<int>").collect()
     words, beginnings = choose_patterns(patterns, np.array([r["label"] for r in seen], np.int64), [np.array(r["found"], np.int64) for r in seen])
-    lexicon = Lexicon(dict.fromkeys(INSULTS, SEED_WEIGHT) | words, beginnings)
-    seen = sample.mapInArrow(_feature_batches(lexicon), "label int, a double, b double, c double").toPandas()
+    model = Model(Lexicon(dict.fromkeys(INSULTS, SEED_WEIGHT) | words, beginnings))
+    marks = sample.mapInArrow(_mark_batches(model), "label int, kind string, mark string, has boolean, n bigint").groupBy("label", "kind", "mark", "has").agg(F.sum("n").alias("n")).collect()
+    model = Model(model.lexicon, weights=learned_weights({(r["label"], r["kind"], r["mark"], r["has"]): r["n"] for r in marks}, n_toxic, n_clean))
+    seen = sample.mapInArrow(_feature_batches(model), "label int, a double, b double, c double").toPandas()
     if seen["label"].nunique() < 2:
-        return Model(lexicon)
+        return model
     y = seen["label"].to_numpy(float)
     beta = fit_logistic(seen[["a", "b", "c"]].to_numpy(), y, np.where(y == 1, 1 / share[1], 1 / share[0]))
-    return Model(lexicon, tuple(float(b) for b in beta))
+    return Model(model.lexicon, tuple(float(b) for b in beta), model.weights)
 
 
 def _score_batches(shared):
@@ -374,7 +500,13 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on) for each row of ``docs``."""
+    """doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on) for each row of ``docs``.
+
+    Null and empty texts score what a text without matches does; repeated rows come back
+    as often; an empty table gives an empty one; without usable labels the fixed lexicon
+    and weights serve. A null id counts as the empty text in the fold's hash. Extra
+    columns of either table don't matter.
+    """
     scored = score(docs, learn(docs, labels, folds, held_fold))
     return scored.select("doc_id", (id_bucket("doc_id", folds) == held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -390,7 +522,11 @@ def _keep_batches(shared, text_at: int, threshold: float):
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    Null and empty texts stay unless the model calls a text without matches toxic;
+    repeated rows go or stay alike; an empty table gives an empty one.
+    """
     spark = docs.sparkSession
     use_small_batches(spark)
     shared = spark.sparkContext.broadcast(model)

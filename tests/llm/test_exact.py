@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spindrift.llm import contamination, html_text, language, mixing, pieces, quality, repeats, secrets, simhash, token_counts, toxicity
+from spindrift.llm import contamination, html_text, language, mixing, pieces, quality, repeats, secrets, simhash, token_counts, toxicity, transducers
 from tests.llm.conftest import DOC_SCHEMA, sentence
 
 
@@ -395,16 +395,90 @@ def test_languages_are_told_apart(spark):
 # --- toxicity
 
 
-def test_clause_grammar():
-    lexicon = toxicity.Lexicon()
+def every_path(machine, read):
+    """(weight, written) of all paths, one by one."""
+    paths = [(0, 0.0, ())]
+    for symbol, own in read:
+        paths = [(t, w + n * own + c, (*out, x)) for state, w, out in paths for t, x, (n, c) in machine.arcs.get((state, symbol), ())]
+    return [(w, out) for state, w, out in paths if state in machine.final]
 
-    def weight(text):
-        return toxicity.clause_weight(lexicon.symbols(toxicity._TOKEN.findall(text.lower())))
 
-    plain, aimed, negated, reported = map(weight, ("such an idiot", "you idiot", "you are not an idiot", "she said you idiot"))
-    assert aimed > plain > 0 and negated < plain and reported < aimed
-    assert weight("i will kill you") > 0 and weight("kill the process") == 0 and weight("a quiet day") == 0
-    assert toxicity.text_features(lexicon, None) == (0.0, 0.0, 0.0)
+def test_composed_grammar_against_all_paths():
+    """The composition's best path is the best of all paths through the four transducers one after the other."""
+    rng = random.Random(8)
+    weights = toxicity.GIVEN
+    first = toxicity.negation_scope([(k,) for k in toxicity._KINDS])
+    chain = [first]
+    for make in (toxicity.reported_speech, toxicity.target_nearby):
+        chain.append(make(toxicity._written(chain[-1])))
+    chain.append(toxicity.match_weights(toxicity._written(chain[-1]), weights))
+    whole = toxicity.clause_grammar(weights)
+    for _ in range(300):
+        read = [((k,), rng.choice([1.0, 3.0, 5.0]) if k == toxicity.INSULT else 0.0) for k in rng.choices(toxicity._KINDS, (3, 2, 2, 1, 1, 6), k=rng.randint(0, 9))]
+        ways = [(0.0, tuple(s for s, _ in read))]
+        for machine in chain:
+            ways = [(w + v, out) for w, symbols in ways for v, out in every_path(machine, [(s, own) for s, (_, own) in zip(symbols, read, strict=True)])]
+        best = max(w for w, _ in ways)
+        weight, written = transducers.best_path(whole, read)
+        assert math.isclose(weight, best, abs_tol=1e-9) and len(written) == len(read)
+        assert math.isclose(max(w for w, _ in every_path(whole, read)), best, abs_tol=1e-9)
+        # What the marks say, worked out by hand.
+        for k, symbol in enumerate(written):
+            if symbol[0] in (toxicity.INSULT, toxicity.THREAT):
+                kinds = [s[0] for s, _ in read]
+                assert (toxicity.NEGATED in symbol) == (toxicity.NEGATION in kinds[max(0, k - 3) : k])
+                assert (toxicity.REPORTED in symbol) == (toxicity.REPORT in kinds[:k])
+                if "counted" in symbol:
+                    assert (toxicity.TARGETED in symbol) == (toxicity.TARGET in kinds[max(0, k - 4) : k + 5])
+
+
+def test_grammar_changes_verdicts():
+    model = toxicity.Model(toxicity.Lexicon())
+    verdict = lambda text: model.score(text) >= toxicity.THRESHOLD
+    for plain, other in (
+        ("You are an idiot.", "You are not an idiot."),
+        ("Du bist ein Trottel!", "Du bist kein Trottel!"),
+        ("you are such a moron", "she said you are such a moron"),
+        ("Vous êtes un crétin.", "Il dit: rien. Il a écrit que tu es un crétin."),
+        ("i will kill you", "kill the process"),
+        ("te voy a matar a ti", "matar el proceso"),
+    ):
+        assert verdict(plain) and not verdict(other), (plain, other)
+    # The same words in clauses of their own: nothing is negated or reported.
+    assert verdict("Not today. You are an idiot.") and verdict("She said hello; you moron")
+    assert model.score("such an idiot") < model.score("you idiot")
+    assert model.features(None) == (0.0, 0.0, 0.0) and not verdict(None) and not verdict("")
+    # However labels speak, the marks keep half of their weights.
+    counts = {(label, kind, mark, has): 1000 for label in (0, 1) for kind in (toxicity.INSULT, toxicity.THREAT) for mark in (toxicity.NEGATED, toxicity.REPORTED, toxicity.UNTARGETED) for has in (True, False)}
+    learned = toxicity.learned_weights(counts, 1000, 1000)
+    assert all(learned[m] <= toxicity.GIVEN[m] / 2 for m in (toxicity.NEGATED, toxicity.REPORTED, toxicity.UNTARGETED))
+    assert toxicity.learned_weights({}, 0, 0)[toxicity.THREAT] > 1
+
+
+def test_verdicts_against_brute_force(spark):
+    """The query's scores from the learned model, by all paths through every clause."""
+    rng = random.Random(10)
+    stock = ["you", "not", "said", "idiot", "kill", "zorgle", "plain", "words", "here", "."]
+    rows = [(k, " ".join(rng.choices(stock, k=8)) if k % 7 else " ".join(rng.choices(stock[6:], k=8))) for k in range(200)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int("zorgle" in (t or ""))) for k, t in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks)
+    out = {r.doc_id: r.score for r in toxicity.classify_toxicity(docs, marks).collect()}
+    for k, text in rows:
+        tokens = re.findall(r"[^\W\d_]+|[.]", text or "")
+        weights, clause = [], []
+        for token in [*tokens, "."]:
+            kind, own = model.lexicon.read(token)
+            if kind != toxicity.END:
+                clause.append(((kind,), own))
+            else:
+                if any(s[0] in (toxicity.INSULT, toxicity.THREAT) for s, _ in clause):
+                    weights.append(max(w for w, _ in every_path(model.grammar, clause)))
+                clause = []
+        total = sum(weights)
+        x = (math.log1p(total), math.log1p(100 * total / len(tokens)), math.log1p(max(weights))) if total else (0, 0, 0)
+        z = model.coefficients[0] + sum(a * b for a, b in zip(model.coefficients[1:], x, strict=True))
+        assert math.isclose(out[k], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
 
 
 def test_toxicity_learns_from_labels(spark):
