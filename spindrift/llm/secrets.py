@@ -4,8 +4,9 @@ Each rule's regex is parsed and turned into a query over trigrams that any match
 contain. Texts are indexed block by block (an Arrow batch): a trigram's posting list
 holds the block's texts that contain it, lists are intersected and united as the query
 says, and the regex runs over what is left. A rule without mandatory trigrams (a bare
-run of hex digits) scans every text. Only trigrams that some query asks for are indexed,
-so the index of a block is a few dozen lists and never leaves its task.
+run of hex digits) scans every text. One pass over a block's trigrams makes the lists of
+those that some query asks for, so the index of a block is a few dozen lists and never
+leaves its task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 from re import _constants as C
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from spindrift.llm.common import use_small_batches
 SET_LIMIT = 64
 #: A character class of more members than this is treated as unknown text.
 CLASS_LIMIT = 8
+#: Characters whose trigrams are looked at in one go.
+PASS_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -167,20 +171,31 @@ def trigram_query(pattern: str) -> Query:
 
 
 class BlockIndex:
-    """Posting lists of one block of texts, made as queries ask for them."""
-
-    def __init__(self, texts: list[str]):
-        self.folded = [t.lower() for t in texts]
-        self.postings: dict[str, frozenset[int]] = {}
+    """Posting lists of one block of texts for given trigrams, made in one pass over the block's trigrams."""
+
+    def __init__(self, texts: list[str], trigrams: list[str]):
+        self.size = len(texts)
+        wanted = np.sort(np.array([_code(*map(ord, t)) for t in trigrams], np.uint64))
+        quick = np.zeros(1 << 16, bool)
+        quick[_slot(wanted)] = True
+        found: list[np.ndarray] = []
+        for numbers, letters in _letters(texts):
+            codes = _code(letters[:-2], letters[1:-1], letters[2:])
+            at = np.flatnonzero(quick[_slot(codes)])
+            which = np.minimum(np.searchsorted(wanted, codes[at]), max(0, len(wanted) - 1))
+            hit = wanted[which] == codes[at] if len(wanted) else np.zeros(len(at), bool)
+            found.append(np.unique(which[hit] * self.size + numbers[at[hit]]))
+        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        edges = np.searchsorted(pairs, np.arange(len(wanted) + 1) * self.size)
+        lists = [frozenset((pairs[low:high] - k * self.size).tolist()) for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+        self.postings = dict(zip(wanted.tolist(), lists, strict=True))
 
     def posting(self, trigram: str) -> frozenset[int]:
-        if trigram not in self.postings:
-            self.postings[trigram] = frozenset(i for i, t in enumerate(self.folded) if trigram in t)
-        return self.postings[trigram]
+        return self.postings[int(_code(*map(ord, trigram)))]
 
     def candidates(self, query: Query) -> list[int]:
         if query is None:
-            return list(range(len(self.folded)))
+            return list(range(self.size))
         found: set[int] = set()
         for trigrams in query:
             lists = sorted(map(self.posting, trigrams), key=len)
@@ -188,15 +203,50 @@ class BlockIndex:
         return sorted(found)
 
 
+def _code(a, b, c):
+    """A trigram of code points (below 2 ** 21) as one number."""
+    if isinstance(a, np.ndarray):
+        return (a << np.uint64(42)) | (b << np.uint64(21)) | c
+    return a << 42 | b << 21 | c
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+
+
+def _letters(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text's number, lower-case code point) of each letter, some ``PASS_CHARS`` at a time; a 0 parts texts, and parts of a long text share two letters."""
+    numbers, parts, held = [], [], 0
+
+    def settle() -> tuple[np.ndarray, np.ndarray]:
+        joined = "\0".join(parts) + "\0\0"
+        lengths = np.array([len(p) + 1 for p in parts])
+        lengths[-1] += 1
+        return np.repeat(np.array(numbers), lengths), np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    for number, text in enumerate(texts):
+        folded = text.lower()
+        for low in range(0, max(1, len(folded) - 2), PASS_CHARS):
+            parts.append(folded[low : low + PASS_CHARS + 2])
+            numbers.append(number)
+            held += len(parts[-1])
+            if held >= PASS_CHARS:
+                yield settle()
+                numbers, parts, held = [], [], 0
+    if parts:
+        yield settle()
+
+
 class Scanner:
     """Spans of all rules over blocks of texts."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = [(r, r.compiled(), trigram_query(r.pattern)) for r in rules]
+        self.trigrams = sorted({t for _, _, query in self.rules for trigrams in query or () for t in trigrams})
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text: (start, rule number, end), sorted."""
-        index = BlockIndex(texts)
+        index = BlockIndex(texts, self.trigrams)
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for number, (rule, regex, query) in enumerate(self.rules):
             # A run that is too short can't pass the length test; where the whole match is one run, ask for it at once.
@@ -240,6 +290,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     ``spans`` lists kind:start:end (code points, end exclusive) by start, then in the
     rules' order. A null text counts as empty: no spans, the digest of the empty text.
+    Repeated rows come back as often; an empty table gives an empty one.
     """
     use_small_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -276,7 +327,8 @@ def _redact_batches(rules: tuple[Rule, ...], text_at: int, chars_at: int | None,
 def redact_secrets(docs: DataFrame, text_column: str = "text", chars_column: str = "n_chars", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mask`` (overlapping spans by one) and the count of changed texts' characters renewed.
 
-    No row goes; a null text stays null.
+    No row goes, repeated ones neither; a null text stays null; an empty table gives an
+    empty one.
     """
     use_small_batches(docs.sparkSession)
     names = docs.columns

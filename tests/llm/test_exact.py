@@ -166,6 +166,18 @@ def test_trigram_queries_never_lose_a_match():
     assert secrets.trigram_query("(foo|ba?r)x+") is None or all(len(g) == 3 for q in secrets.trigram_query("(foo|ba?r)x+") for g in q)
 
 
+def test_postings_against_plain_search(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcABÄİ\0\U0001f600", k=rng.choice([0, 1, 2, 3, 10, 80]))) for _ in range(200)] + ["abc" * 50 + "\ud800"]
+    trigrams = ["abc", "aab", "bäa", "ccc", "ba\U0001f600"]
+    for chars in (7, 1 << 20):
+        monkeypatch.setattr(secrets, "PASS_CHARS", chars)
+        index = secrets.BlockIndex(texts, trigrams)
+        assert all(index.posting(t) == {i for i, x in enumerate(texts) if t in x.lower()} for t in trigrams)
+    assert secrets.BlockIndex([], trigrams).candidates(frozenset([frozenset(["abc"])])) == []
+    assert secrets.BlockIndex(texts, []).candidates(None) == list(range(len(texts)))
+
+
 def test_redaction(spark):
     row = secrets.redact_secrets(spark.createDataFrame([(1, "a token=abcdefgh b", 18), (2, None, None)], "doc_id long, text string, n_chars long")).collect()
     assert (row[0].text, row[0].n_chars) == ("a [SECRET] b", 12)
