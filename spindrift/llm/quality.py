@@ -76,6 +76,7 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     counted = docs.select(F.col(f"`{id_column}`").alias("id"), stratum.alias("stratum"), text.alias("text")).select(
         "id",
         "stratum",
+        F.xxhash64("text").alias("print"),
         _let(_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
         (F.length("text") - F.regexp_count("text", F.lit(SPACE_CLASS))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -89,7 +90,7 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def share(part: str, whole: str) -> Column:
         return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double")), F.lit(0.0))
 
-    return counted.select("id", "stratum", "w.*", "word_chars", "n_symbols", "n_capitals", "l.*").select(
+    return counted.select("id", "stratum", "print", "w.*", "word_chars", "n_symbols", "n_capitals", "l.*").select(
         "*",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         share("n_symbols", "word_chars").alias("symbols"),
@@ -133,8 +134,13 @@ def certified_cutoffs(
 ) -> DataFrame:
     """Rows (stratum, <rule>_cutoff ...) from :func:`features` and labels (1: good, 0: bad).
 
-    Only documents that pass the base rules count, as only those can fall to a rule. A
-    cutoff is null where none is certified; strata without labels have no row.
+    Only documents that pass the base rules count, as only those can fall to a rule. The
+    bound needs independent documents, so each text counts once for a label and stratum,
+    however often it is copied or labelled. A cutoff is null where none is certified;
+    strata without labels have no row. That the same labels choose among the certified
+    cutoffs does no harm: candidates are tested in a fixed order that no label has a say
+    in, each at the full level, so with the stated probability all certified ones hold
+    at once, whichever is then chosen.
     """
     n_strata = max(1, scored.select("stratum").distinct().count())
     marked = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label_column}`").alias("label")).where("label in (0, 1)")
@@ -142,6 +148,7 @@ def certified_cutoffs(
     counted = (
         scored.where("not base_failed")
         .join(marked, "id")
+        .dropDuplicates(["stratum", "label", "print"])
         .select("stratum", "label", F.explode(trials).alias("t"))
         .groupBy("stratum", "t.rule", "t.cutoff")
         .agg(
@@ -212,7 +219,7 @@ with d as (
   select rid, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
   from (select rid, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '{_WORD_SQL}') group by rid
 ), f as (
-  select d.doc_id, d.stratum, len(tok.ws) as n_words,
+  select d.doc_id, d.stratum, d.text, len(tok.ws) as n_words,
     length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) as n_capitals,
@@ -226,7 +233,8 @@ with d as (
 ), trial as (
   select stratum, rule, cutoff, count(*) filter (quality = 1) as n_good, count(*) filter (quality = 1 and v > cutoff) as k_good,
     count(*) filter (quality = 0) as n_bad, count(*) filter (quality = 0 and v > cutoff) as k_bad
-  from (select stratum, quality, unnest([{', '.join(f"{{'rule': '{r}', 'v': {r}}}" for r in RULES)}], recursive := true) from s join labels using (doc_id) where not base_failed and quality in (0, 1)) x,
+  from (select stratum, quality, unnest([{', '.join(f"{{'rule': '{r}', 'v': {r}}}" for r in RULES)}], recursive := true) 
+    from (select distinct on (stratum, quality, text) * from s join labels using (doc_id) where not base_failed and quality in (0, 1))) x,
        (select unnest([{', '.join(f'{c}::double' for c in CUTOFFS)}]) as cutoff) y
   group by all
 ), tested as (

@@ -281,6 +281,18 @@ def test_binomial_tail_is_exact(spark):
         assert math.isclose(p, exact, rel_tol=1e-9)
 
 
+def test_copies_certify_nothing(spark):
+    """Copies of a few texts, labelled or repeated however often, count as the few texts."""
+    rng = random.Random(18)
+    texts = [sentence(rng, 30) for _ in range(20)]
+    rows = [(k, texts[k % 20], "en") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(k, 1) for k in range(2000)] * 2, "doc_id long, quality int")
+    assert quality.certified_cutoffs(quality.features(docs), marks).collect() == []
+    apart = spark.createDataFrame([(k, sentence(rng, 30), "en") for k in range(2000)], "doc_id long, text string, lang string")
+    assert quality.certified_cutoffs(quality.features(apart), marks).collect() != []
+
+
 def test_cutoffs_hold_their_guarantee(spark):
     """Good texts with symbols in 10% of them: no certified cutoff may reject them."""
     rng = random.Random(1)
