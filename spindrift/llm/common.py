@@ -95,11 +95,6 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def hashable(df: DataFrame) -> list:
-    """The columns of ``df`` that a row hash can take in; Spark hashes no maps or variants."""
-    return [F.col(f"`{f.name}`") for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-
-
 def row_marks(df: DataFrame) -> list:
     """Two hashes of a whole row (128 bits tell any number of rows apart); nested columns go in as JSON, which also tells where their nulls are."""
     columns = []

@@ -5,6 +5,11 @@ budget, a subset of them. The subset is found on counts of documents by exact le
 every length gives its proportional share, the longest lengths take most of what is
 left, and bounded-knapsack dynamic programming fits the remainder as closely as any
 choice can. Which documents of a length are taken follows from a seeded hash.
+
+The programme's table holds ``DP_WORDS`` words, so a budget beyond that is fitted in two
+steps: proportional shares and longest lengths down to that many words, then the
+programme over the rest. That is the method's bound, and loses nothing while short
+documents are left to fill the rest.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import fresh_name, hashable, materialize
+from spindrift.llm.common import fresh_name, materialize, row_marks
 
 #: Shares of the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -23,8 +28,10 @@ MOST_REPEATS = 3.0
 SEED = 17
 #: Words left to the dynamic programme, besides one document of the longest length.
 DP_WORDS = 1 << 16
-#: Parts into which the documents of one source and length are dealt for ranking.
-RANK_PARTS = 4096
+#: Documents of one source and length that are ranked together, about; more are dealt to parts of the hash range.
+RANK_ROWS = 4096
+#: Equal rows that are written out in one go.
+WRITTEN_ROWS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -130,11 +137,10 @@ def source_targets(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, m
 
 
 def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    """Rows (id, source, size, mark), where the mark is a hash of the whole row."""
+    """Rows (id, source, size, mark, check), where the last two are hashes of the whole row."""
     words = F.coalesce(F.regexp_count(F.col(f"`{text_column}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(
-        F.col(f"`{id_column}`").alias("id"), F.col(f"`{source_column}`").alias("source"), words.alias("size"), F.xxhash64(*hashable(docs)).alias("mark")
-    )
+    mark, check = row_marks(docs)
+    return docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{source_column}`").alias("source"), words.alias("size"), mark.alias("mark"), check.alias("check"))
 
 
 def _taken(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
@@ -144,22 +150,20 @@ def _taken(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int)
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.withColumn("repeats", repeats.cast("long")).withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("repeats") * F.col("source_size"))
     same_source = F.col("source").eqNullSafe(F.col("of_source"))
-    times = (F.lit(int(most)) - F.col("repeats")).alias("times")
-    lengths = histogram.join(targets.withColumnRenamed("source", "of_source"), same_source).select("source_no", "size", "n", "budget", times)
-    picks = materialize(lengths.groupBy("source_no").applyInPandas(_plan, "source_no int, size bigint, picks bigint"), "mix-picks")
-    # Documents of one source and length are ranked by hash: parts of the hash range are counted first, so no part holds a whole length.
+    lengths = histogram.join(targets.withColumnRenamed("source", "of_source"), same_source).drop("of_source").withColumn("times", F.lit(int(most)) - F.col("repeats"))
+    picks = lengths.select("source_no", "size", "n", "budget", "times").groupBy("source_no").applyInPandas(_plan, "source_no int, size bigint, picks bigint")
+    parts = F.ceil(F.col("n") / RANK_ROWS).cast("long").alias("parts")
+    plan = materialize(lengths.join(picks, ["source_no", "size"]).select(F.col("source").alias("of_source"), F.col("size").alias("of_size"), "source_no", "n", parts, "picks", "repeats", "source_size", "target"), "mix-plan")
+    # Documents of one source and length are ranked by hash. Of many, parts of the hash range are counted first, so no task ranks a whole crowd.
     order = F.xxhash64(F.lit(seed), "id")
-    dealt = sized.join(targets.withColumnRenamed("source", "of_source"), same_source).select(
-        "id", "source", "size", "mark", "source_no", "source_size", "target", "repeats", order.alias("rank_key"), F.pmod(order, F.lit(RANK_PARTS)).cast("int").alias("part")
-    )
+    dealt = sized.join(plan, same_source & (F.col("size") == F.col("of_size"))).withColumn("rank_key", order).withColumn("part", F.pmod("rank_key", "parts"))
     keys = ["source_no", "size", "part"]
-    parts = dealt.groupBy(*keys).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source_no", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("n").over(Window.partitionBy("source_no", "size"))
-    parts = parts.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("whole", whole).join(picks, ["source_no", "size"]).select(*keys, "before", "whole", "picks")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("rank_key", "id", "mark"))
-    extra = F.floor(F.col("picks") / F.col("whole")) + (F.col("before") + rank <= F.col("picks") % F.col("whole")).cast("long")
-    return dealt.join(parts, keys).withColumn("copies", F.col("repeats") + extra)
+    counts = dealt.where("parts > 1").groupBy(*keys).agg(F.count("*").alias("in_part"))
+    before = F.sum("in_part").over(Window.partitionBy("source_no", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, before.alias("before"))
+    rank = F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy(*keys).orderBy("rank_key", "id", "mark", "check"))
+    extra = F.floor(F.col("picks") / F.col("n")) + (rank <= F.col("picks") % F.col("n")).cast("long")
+    return dealt.join(counts, keys, "left").withColumn("copies", F.col("repeats") + extra)
 
 
 def mix_plan(
@@ -176,6 +180,7 @@ def mix_plan(
     A null text has size 0, and a document of size 0 is never taken beyond its 0 words.
     A null source is a source of its own, the last. Repeated rows count each; which of
     several equal rows is taken can't be told apart. An empty table gives an empty one.
+    Windows over sources and over parts of a length have a row for each of these only.
     """
     sized = materialize(_sized(docs, id_column, text_column, source_column), "mix-sizes")
     return _taken(sized, weights, most, seed).select(
@@ -194,15 +199,32 @@ def mix(
 ) -> DataFrame:
     """The documents that the mix takes, with ``copies``: how often. All columns of ``docs`` stay.
 
-    A column of ``docs`` called ``copies`` keeps its name; the count then gets a leading underscore.
+    A column of ``docs`` called ``copies`` keeps its name; the count then gets a leading
+    underscore. Documents without words (null, empty) are never taken; a null source is
+    a source of its own; of equal rows some may be taken once more than others; an empty
+    table gives an empty one. Copies are decided on narrow rows. Equal rows meet as
+    partial results, by hashes of the whole row, and are written out again afterwards,
+    so no crowd of them goes through one task.
     """
     columns = docs.columns
-    mark, plan_mark, nth, copies = (fresh_name(docs, x) for x in ("mix_mark", "mix_plan_mark", "mix_nth", "copies"))
+    mark, check, copies, low, every, n, nth = (fresh_name(docs, x) for x in ("mix_mark", "mix_check", "copies", "mix_low", "mix_all", "mix_n", "mix_nth"))
     sized = materialize(_sized(docs, id_column, text_column, source_column), "mix-sizes")
-    # Rows equal in all columns share a mark. Their copies differ by one at most, so three numbers tell how often to take how many.
-    plan = _taken(sized, weights, most, seed).groupBy("mark").agg(F.min("copies").alias("low"), F.sum("copies").alias("all"), F.count("*").alias("n"))
-    plan = plan.where(F.col("all") > 0).select(F.col("mark").alias(plan_mark), F.struct("low", (F.col("all") - F.col("n") * F.col("low")).alias("more")).alias(copies))
-    joined = docs.withColumn(mark, F.xxhash64(*hashable(docs))).join(plan, F.col(mark) == F.col(plan_mark))
-    numbered = joined.withColumn(nth, F.row_number().over(Window.partitionBy(mark).orderBy(mark)))
-    taken = numbered.withColumn(copies, F.col(f"`{copies}`.low") + (F.col(nth) <= F.col(f"`{copies}`.more")).cast("long"))
+    # Copies of equal rows differ by one at most, so three numbers tell how often to take how many.
+    plan = _taken(sized, weights, most, seed).groupBy(F.col("mark").alias(mark), F.col("check").alias(check)).agg(F.min("copies").alias(low), F.sum("copies").alias(every), F.count("*").alias(n))
+    plan = materialize(plan.where(F.col(every) > 0), "mix-rows")
+    once = docs.withColumns(dict(zip((mark, check), row_marks(docs), strict=True))).dropDuplicates([mark, check])
+
+    def written(rows: DataFrame, first, last) -> DataFrame:
+        """Each of ``rows`` from its ``first`` to its ``last`` time."""
+        return rows.withColumn(nth, F.explode(F.sequence(first, last)))
+
+    few = plan.where(F.col(n) <= WRITTEN_ROWS)
+    taken = written(once.join(few, [mark, check]), F.lit(1).cast("long"), F.col(n))
+    many = plan.where(F.col(n) > WRITTEN_ROWS)
+    if not many.isEmpty():
+        lot = fresh_name(docs, "mix_lot")
+        lots = once.join(many, [mark, check]).withColumn(lot, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / WRITTEN_ROWS))))
+        lots = lots.repartition(mark, check, lot)
+        taken = taken.unionByName(written(lots, F.col(lot) * WRITTEN_ROWS + 1, F.least(F.col(n), (F.col(lot) + 1) * WRITTEN_ROWS)).drop(lot))
+    taken = taken.withColumn(copies, F.col(low) + (F.col(nth) <= F.col(every) - F.col(n) * F.col(low)).cast("long"))
     return taken.where(F.col(copies) > 0).select(*[F.col(f"`{c}`") for c in columns], copies)

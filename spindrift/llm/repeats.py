@@ -326,7 +326,9 @@ def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _group_links(rows: DataFrame, *keys: str) -> DataFrame:
-    dealt = rows.select(*keys, "hash", "grams", "comp").repartition(*keys).sortWithinPartitions(*keys)
+    # By number, so that partitions of few bytes but many comparisons aren't put together.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*keys, "hash", "grams", "comp").repartition(tasks, *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(_linker(len(keys)), "src bigint, dst bigint")
 
 

@@ -7,8 +7,9 @@ node is a range of it, and its children meet where the next bit turns to 1.
 
 To spread the work, the 64 bits are cut into ``budget + 1`` blocks. Two fingerprints
 within the budget agree in at least one whole block, so each block in turn is rotated
-to the front and its values are sub-tries joined independently. A crowded sub-trie is
-dealt out again as pairs of nodes some levels deeper.
+to the front and its values are sub-tries joined independently. A crowded pair of nodes
+is opened some levels deeper, into the pairs of their descendants within the budget, and
+those again as long as any is crowded.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import fresh_name, hashable, materialize, use_small_batches
+from spindrift.llm.common import LARGE_BATCHES, discard, fresh_name, materialize, row_marks, settings, use_small_batches
 from spindrift.llm.components import connected_components
 
 BITS = 64
@@ -29,9 +30,9 @@ BITS = 64
 BUDGET = 3
 SHINGLE_WORDS = 3
 SEED = 42
-#: A sub-trie of more fingerprints than this is dealt out as node pairs further down.
+#: A pair of nodes with more fingerprints than this is dealt out as node pairs further down.
 CROWDED = 200_000
-#: Levels by which a crowded sub-trie is opened.
+#: Levels by which a crowded pair is opened at a time.
 DEALT_LEVELS = 4
 #: Node pairs in one step of the walk; more are put on a stack.
 FRONTIER = 1 << 19
@@ -83,11 +84,12 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def trie_pairs(values: np.ndarray, roots: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Walk the trie over sorted distinct ``values`` (uint64) against itself.
 
-    roots: rows (low, high) of ranges whose values share their first ``depth`` bits.
-    Yields index arrays (i, j), i < j, of pairs that differ in ``budget`` bits at most.
+    roots: rows (a0, a1, b0, b1, spent) of two ranges whose values share their first
+    ``depth`` bits each, and differ in ``spent`` of them; the same range twice for a node
+    with itself. Yields index arrays (i, j), i < j, of pairs that differ in ``budget``
+    bits at most.
     """
-    n = len(roots)
-    stack = [(depth, roots[:, 0], roots[:, 1], roots[:, 0], roots[:, 1], np.zeros(n, np.int8))]
+    stack = [(depth, *(roots[:, k] for k in range(4)), roots[:, 4].astype(np.int8))]
     while stack:
         level, a0, a1, b0, b1, spent = stack.pop()
         if len(a0) > FRONTIER:
@@ -161,27 +163,34 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return roots(np.arange(n))
 
 
-def _walk(rows: np.ndarray, block_bits: int, budget: int) -> pa.RecordBatch | None:
-    """Links among rows (table, lo, hi, value), sorted; each run of the first three and of the first block is a sub-trie."""
-    heads = rows["value"] >> np.uint64(BITS - block_bits)
+def _walk(rows: np.ndarray, depth: int, block_bits: int, budget: int) -> pa.RecordBatch | None:
+    """Links among rows (table, lo, hi, value), sorted: each run of the first three is a pair of nodes ``depth`` levels down."""
     new = np.ones(len(rows), bool)
-    new[1:] = (rows["table"][1:] != rows["table"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1]) | (heads[1:] != heads[:-1])
+    new[1:] = (rows["table"][1:] != rows["table"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1])
+    run = np.cumsum(new) - 1
     low = np.flatnonzero(new)
     high = np.append(low[1:], len(rows))
+    single = (rows["lo"] == rows["hi"])[low]
+    work: list[tuple[int, np.ndarray, np.ndarray]] = []  # table, values, roots
+    for table in np.unique(rows["table"][low[single]]):
+        # Nodes with themselves lie in order, so one walk takes all of a table's.
+        own = single & (rows["table"][low] == table) & (high - low >= 2)
+        ends = np.cumsum((high - low)[own])
+        starts = ends - (high - low)[own]
+        work.append((int(table), rows["value"][own[run]], np.stack([starts, ends, starts, ends, np.zeros(len(ends), np.int64)], axis=1)))
+    for k in np.flatnonzero(~single):
+        values = rows["value"][low[k] : high[k]]
+        cut = int(np.searchsorted(values >> np.uint64(BITS - depth), np.uint64(rows["hi"][low[k]])))
+        if 0 < cut < len(values):
+            spent = int(rows["lo"][low[k]] ^ rows["hi"][low[k]]).bit_count()
+            work.append((int(rows["table"][low[k]]), values, np.array([[0, cut, cut, len(values), spent]])))
     found_a, found_b = [], []
-    big = high - low >= 2
-    run = np.cumsum(new) - 1
-    for group in np.unique(np.stack([rows["table"][low[big]], rows["lo"][low[big]], rows["hi"][low[big]]]), axis=1).T:
-        inside = big & (rows["table"][low] == group[0]) & (rows["lo"][low] == group[1]) & (rows["hi"][low] == group[2])
-        rows_in = inside[run]
-        values = np.ascontiguousarray(rows["value"][rows_in])
-        sizes = (high - low)[inside]
-        ends = np.cumsum(sizes)
-        top = _forest(len(values), trie_pairs(values, np.stack([ends - sizes, ends], axis=1), block_bits, budget))
+    for table, part, roots in work:
+        values = np.ascontiguousarray(part)
+        top = _forest(len(values), trie_pairs(values, roots, depth, budget))
         linked = np.flatnonzero(top != np.arange(len(top)))
-        turn = int(group[0]) * block_bits
-        found_a.append(_unrotate(values[linked], turn))
-        found_b.append(_unrotate(values[top[linked]], turn))
+        found_a.append(_unrotate(values[linked], table * block_bits))
+        found_b.append(_unrotate(values[top[linked]], table * block_bits))
     if not found_a:
         return None
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (found_a, found_b)], names=["src", "dst"])
@@ -191,21 +200,12 @@ def _unrotate(values: np.ndarray, turn: int) -> np.ndarray:
     return values if not turn else (values >> np.uint64(turn)) | (values << np.uint64(BITS - turn))
 
 
-def _linker(block_bits: int, budget: int):
-    kind = np.dtype([("table", np.int32), ("lo", np.int32), ("hi", np.int32), ("value", np.uint64)])
+def _linker(depth: int, block_bits: int, budget: int):
+    kind = np.dtype([("table", np.int32), ("lo", np.int64), ("hi", np.int64), ("value", np.uint64)])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         count = 0
-
-        def settle(rows: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray]:
-            if last:
-                return _walk(rows, block_bits, budget), rows[:0]
-            tail = rows[-1]
-            heads = rows["value"] >> np.uint64(BITS - block_bits)
-            open_from = int(np.argmax((rows["table"] == tail["table"]) & (rows["lo"] == tail["lo"]) & (rows["hi"] == tail["hi"]) & (heads == heads[-1])))
-            return (_walk(rows[:open_from], block_bits, budget) if open_from else None), rows[open_from:]
-
         for batch in batches:
             rows = np.empty(batch.num_rows, kind)
             for name in ("table", "lo", "hi"):
@@ -215,65 +215,70 @@ def _linker(block_bits: int, budget: int):
             held.append(rows)
             count += len(rows)
             if count >= GATHER:
-                out, rest = settle(np.concatenate(held), False)
-                held, count = [rest], len(rest)
-                if out is not None:
+                rows = np.concatenate(held)
+                # The last pair of nodes may go on in the next batch.
+                tail = rows[-1]
+                cut = int(np.argmax((rows["table"] == tail["table"]) & (rows["lo"] == tail["lo"]) & (rows["hi"] == tail["hi"])))
+                if cut and (out := _walk(rows[:cut], depth, block_bits, budget)) is not None:
                     yield out
-        if count:
-            out, _ = settle(np.concatenate(held), True)
-            if out is not None:
-                yield out
+                held, count = [rows[cut:]], len(rows) - cut
+        if count and (out := _walk(np.concatenate(held), depth, block_bits, budget)) is not None:
+            yield out
 
     return links
 
 
+def _opened(pairs: DataFrame, depth: int, levels: int, budget: int) -> DataFrame:
+    """Rows (table, turned, lo, hi) of node pairs ``depth`` levels down, dealt to the pairs of descendants ``levels`` further down."""
+    own = F.shiftrightunsigned("turned", BITS - depth - levels)
+    masks = F.array(*map(F.lit, range(1 << levels)))
+    bits = F.shiftrightunsigned("turned", BITS - depth - levels).bitwiseAND((1 << levels) - 1)
+    # The mate is a descendant of the pair's other node (of the same node, where a node is paired with itself).
+    above = F.when(F.shiftrightunsigned("turned", BITS - depth) == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    dealt = pairs.select("table", "turned", own.alias("own"), above.alias("above"), bits.alias("bits"), F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))).alias("spent"), F.explode(masks).alias("mask"))
+    mate = F.shiftleft("above", levels).bitwiseOR(F.col("bits").bitwiseXOR(F.col("mask")))
+    dealt = dealt.where(F.col("spent") + F.bit_count("mask") <= budget).withColumn("mate", mate)
+    return dealt.select("table", "turned", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"))
+
+
 def hamming_links(values: DataFrame, budget: int = BUDGET, crowded: int = CROWDED, dealt_levels: int = DEALT_LEVELS) -> DataFrame:
     """Links (src, dst) among the distinct values of column ``fp``.
 
-    They connect what the pairs at ``budget`` bits or fewer connect: within a sub-trie
+    They connect what the pairs at ``budget`` bits or fewer connect: within a pair of nodes
     the walk sees every such pair and a spanning forest of them is returned, so a
-    crowd of near copies gives as many links as members, not their square.
+    crowd of near copies gives as many links as members, not their square. A pair of
+    nodes with more than ``crowded`` values is opened, again and again, so no task gets
+    many more, however many values begin alike.
     """
     spark = values.sparkSession
     tables = budget + 1
     block = BITS // tables
     distinct = values.select("fp").where("fp is not null").distinct()
-    turned = distinct.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("table"),
-                        (F.col("fp") if not k else F.shiftleft("fp", k * block).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * block))).alias("turned"),
-                    )
-                    for k in range(tables)
-                ]
-            )
-        ).alias("x")
-    ).select("x.table", "x.turned")
-    turned = materialize(turned.withColumn("head", F.shiftrightunsigned("turned", BITS - block).cast("int")), "trie-keys")
-    crowds = turned.groupBy("table", "head").count().where(F.col("count") > crowded).select("table", "head", F.lit(True).alias("crowd"))
-    next_bits = F.shiftrightunsigned("turned", BITS - block - dealt_levels).bitwiseAND((1 << dealt_levels) - 1).cast("int")
-    masks = [m for m in range(1 << dealt_levels) if m.bit_count() <= budget]
-    dealt = turned.join(crowds, ["table", "head"], "left").withColumn("own", F.when(F.col("crowd"), next_bits).otherwise(F.lit(-1)))
-    mates = F.when(F.col("crowd"), F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m))).otherwise(F.array(F.lit(-1)))
-    dealt = (
-        dealt.withColumn("mate", F.explode(mates))
-        .select(
-            "table",
-            "head",
-            F.least("own", "mate").alias("lo"),
-            F.greatest("own", "mate").alias("hi"),
-            F.col("turned").bitwiseXOR(F.lit(-(1 << 63))).alias("ordered"),
+    turns = [
+        F.struct(
+            F.lit(k).alias("table"),
+            (F.col("fp") if not k else F.shiftleft("fp", k * block).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * block))).alias("turned"),
         )
-        .repartition("table", "head", "lo", "hi")
-        .sortWithinPartitions("table", "lo", "hi", "ordered")
-        .select("table", "lo", "hi", "ordered")
-    )
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    links = materialize(dealt.mapInArrow(_linker(block, budget), "src bigint, dst bigint"), "trie-links")
-    use_small_batches(spark)
-    return links
+        for k in range(tables)
+    ]
+    head = F.shiftrightunsigned("turned", BITS - block)
+    keys = ["table", "lo", "hi"]
+    pairs = materialize(distinct.select(F.explode(F.array(*turns)).alias("x")).select("x.table", "x.turned").withColumns({"lo": head, "hi": head}), "trie-pairs")
+    depth, found, done = block, None, []
+    while True:
+        crowds = materialize(pairs.groupBy(*keys).count().where(F.col("count") > crowded).select(*keys), "trie-crowds")
+        done += [pairs, crowds]
+        last = depth + dealt_levels >= BITS or crowds.isEmpty()
+        ready = pairs if last else pairs.join(crowds, keys, "left_anti")
+        ordered = ready.select(*keys, F.col("turned").bitwiseXOR(F.lit(-(1 << 63))).alias("ordered")).repartition(*keys).sortWithinPartitions(*keys, "ordered")
+        with settings(spark, **LARGE_BATCHES):
+            links = materialize(ordered.mapInArrow(_linker(depth, block, budget), "src bigint, dst bigint"), "trie-links")
+        found = links if found is None else found.unionAll(links)
+        if last:
+            discard(*done)
+            return found
+        pairs = materialize(_opened(pairs.join(crowds, keys, "left_semi"), depth, dealt_levels, budget), "trie-pairs")
+        depth += dealt_levels
 
 
 def near_duplicate_components(prints: DataFrame, id_column: str = "doc_id", budget: int = BUDGET) -> DataFrame:
@@ -295,7 +300,8 @@ def near_duplicate_components(prints: DataFrame, id_column: str = "doc_id", budg
 def simhash_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row for each row of ``docs``: id, fingerprint (16 hex digits), component_id.
 
-    A null text counts as empty: fingerprint zero, which links like any other.
+    A null text counts as empty: fingerprint zero, which links like any other. Repeated
+    rows come back as often; an empty table gives an empty one.
     """
     prints = materialize(fingerprints(docs, id_column, text_column), "simhash-prints")
     return near_duplicate_components(prints, id_column, budget).select(
@@ -306,25 +312,21 @@ def simhash_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column:
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = BUDGET) -> DataFrame:
     """Keep one row of each group: the smallest id (nulls last), then the smallest row hash.
 
-    All columns of ``docs`` come back unchanged, whatever their names.
+    All columns of ``docs`` come back unchanged, whatever their names. A null text counts
+    as empty, and empty texts are one group; of rows equal in all columns one stays; an
+    empty table gives an empty one. Groups are found on narrow rows (two hashes of the
+    row, its id, its fingerprint). Equal rows meet as partial results, so that whole rows
+    go through one exchange, by their own hashes, and no crowd of equal rows into one task.
     """
     columns = docs.columns
-    mark = fresh_name(docs, "row_mark")
-    marked = docs.withColumn(mark, F.xxhash64(*hashable(docs)))
-    narrow = marked.select(F.col(f"`{mark}`").alias("mark"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
     use_small_batches(docs.sparkSession)
+    marks = [fresh_name(docs, x) for x in ("row_mark", "row_check")]
+    marked = docs.withColumns(dict(zip(marks, row_marks(docs), strict=True)))
+    narrow = marked.select(*[F.col(f"`{c}`").alias(a) for c, a in zip([*marks, id_column, text_column], ["mark", "check", "id", "text"], strict=True)])
     kind = docs.schema[id_column].dataType.simpleString()
-    prints = materialize(narrow.mapInArrow(_fingerprint_batches, f"mark bigint, id {kind}, fp bigint"), "simhash-marks")
+    prints = materialize(narrow.mapInArrow(_fingerprint_batches, f"mark bigint, check bigint, id {kind}, fp bigint"), "simhash-marks")
     groups = connected_components(hamming_links(prints, budget), "simhash").withColumnsRenamed({"node": "fp", "component": "root"})
-    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark", "check"))
     by_print = prints.groupBy("fp").agg(first.alias("first")).join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keep_mark, keep_id, order = (fresh_name(marked, x) for x in ("kept_mark", "kept_id", "row_order"))
-    kept = by_print.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.mark").alias(keep_mark), F.col("first.id").alias(keep_id))
-    own_id, own_mark = F.col(f"`{id_column}`"), F.col(f"`{mark}`")
-    joined = marked.join(kept, (own_mark == F.col(keep_mark)) & own_id.eqNullSafe(F.col(keep_id)), "left_semi")
-    # Only rows equal in all columns still share both keys; one of them stays.
-    return (
-        joined.withColumn(order, F.row_number().over(Window.partitionBy(own_mark, own_id).orderBy(own_mark)))
-        .where(F.col(order) == 1)
-        .select(*[F.col(f"`{c}`") for c in columns])
-    )
+    kept = materialize(by_print.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{a}").alias(c) for c, a in zip(marks, ("mark", "check"), strict=True)]), "simhash-kept")
+    return marked.dropDuplicates(marks).join(kept, marks, "left_semi").select(*[F.col(f"`{c}`") for c in columns])

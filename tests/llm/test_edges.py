@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import contamination, html_text, language, mixing, quality, repeats, secrets, simhash, token_counts, toxicity
 
@@ -60,6 +61,47 @@ def test_filters_keep_columns(spark, docs, wide_docs, empty_docs, labels, name):
     assert sorted(map(repr, wide.select(docs.columns).collect())) == plain
 
 
+def test_awkward_benchmarks(spark, docs):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert contamination.find_contamination(docs, empty).collect() == []
+    assert contamination.drop_contaminated(docs, empty).count() == docs.count()
+    text = docs.where("doc_id = 1000").first().text
+    plain = spark.createDataFrame([(1, text), (1, text), (2, None), (None, "")], "item_id long, text string")
+    clashing = plain.selectExpr("item_id", "text", "text as doc_id", "1 as edit_distance", "2 as first_word", "map('a', 1) as id")
+    found = sorted(map(repr, contamination.find_contamination(docs, plain).collect()))
+    assert found and sorted(map(repr, contamination.find_contamination(docs, clashing).collect())) == found
+    assert contamination.drop_contaminated(docs, clashing).count() == contamination.drop_contaminated(docs, plain).count() < docs.count()
+
+
+def test_awkward_labels(spark, docs, labels):
+    clashing = labels.selectExpr("doc_id", "quality", "toxic", "quality as label", "toxic as text", "doc_id as id", "1 as of_id", "'x' as stratum")
+    for run in (lambda x: toxicity.classify_toxicity(docs, x), lambda x: quality.quality_rules(docs, x)):
+        assert sorted(map(repr, run(clashing).collect())) == sorted(map(repr, run(labels).collect()))
+
+
+def test_equal_rows_with_nested_columns(spark):
+    """Rows that differ in a map or a nested null only are different rows; equal ones are not told apart."""
+    rows = [(1, "a b c d", {"k": 1}, [1, None]), (1, "a b c d", {"k": 2}, [1, None]), (1, "a b c d", {"k": 1}, [None, 1])] * 3 + [(1, "a b c d", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, a array<int>").withColumn("source", F.lit("s"))
+    assert simhash.drop_near_duplicates(docs).count() == 1
+    taken = mixing.mix(docs).collect()
+    assert sum(r.copies for r in taken) == 10 and len(taken) == 10
+    assert sorted(repr((r.m, r.a)) for r in taken) == sorted(repr((m, a)) for _, _, m, a in rows)
+
+
+@pytest.mark.parametrize("few", [1, 2, 1000])
+def test_crowds_of_equal_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "RANK_ROWS", few)
+    monkeypatch.setattr(mixing, "WRITTEN_ROWS", few)
+    rows = [(7, "x y z", "a")] * 25 + [(k, "p q r s", "b") for k in range(6)] + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, taken = mixing.mix_plan(docs).collect(), mixing.mix(docs).collect()
+    assert sorted(r.taken for r in plan if r.taken) == sorted(r.copies * len(r.text.split()) for r in taken)
+    # The equal rows' copies differ by one at most.
+    copies = [r.copies for r in taken if r.doc_id == 7]
+    assert copies and max(copies) - (min(copies) if len(copies) == 25 else 0) <= 1
+
+
 def test_mix_keeps_columns(spark, docs, wide_docs, empty_docs):
     assert mixing.mix(empty_docs).collect() == []
     plain = mixing.mix(docs)

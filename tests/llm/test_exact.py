@@ -687,6 +687,53 @@ def test_template_lines_go_by_differencing(spark):
     assert out == {1: "Rain falls.", 2: "Sun shines.", 3: "Wind blows.", 4: "Only page", 5: "Sun shines."}
 
 
+def test_pages_against_brute_force(spark):
+    """Half the pages of each host don't mark their article: nearest by path, longest common subsequence line by line, shared lines go."""
+    rng = random.Random(19)
+    rows, lines, marked = [], {}, {}
+    for host in ("a.example", "b.example", "c.example"):
+        template = [sentence(rng, rng.randint(1, 6)) for _ in range(6)]
+        for k in range(60):
+            page = len(rows)
+            own = [sentence(rng, rng.randint(4, 12)) for _ in range(rng.randint(1, 8))]
+            lines[page] = [*template[: rng.randint(0, 3)], *own, *template[3 : rng.randint(3, 6)]]
+            marked[page] = own if k % 2 else None
+            body = "".join(f"<p>{x}</p>" for x in lines[page])
+            if marked[page]:
+                body = body.replace("".join(f"<p>{x}</p>" for x in own), "<article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>")
+            path = "/".join(rng.choice("xyz") for _ in range(rng.randint(1, 3)))
+            rows.append((page, f"https://{host}/{path}/{page:03d}/", f"<html><body>{body}</body></html>"))
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    order = sorted((*html_text.url_key(u), k) for k, u, _ in rows)
+    differenced = 0
+    for at, (host, path, page) in enumerate(order):
+        expected = marked[page]
+        if not expected:
+            near = [(order[j][1].split("/"), j) for j in (at - 1, at + 1) if 0 <= j < len(order) and order[j][0] == host]
+            shared = lambda parts: next((n for n, (x, y) in enumerate(zip(parts, path.split("/"))) if x != y), min(len(parts), path.count("/") + 1))  # noqa: E731, B023, B905
+            for _, j in sorted(near, key=lambda x: -shared(x[0])):
+                a, b = lines[page], lines[order[j][2]]
+                alike = slow_lcs(a, b)
+                mask = html_text.lcs_mask([zlib.crc32(x.encode()) for x in a], [zlib.crc32(x.encode()) for x in b])
+                assert sum(mask) == alike  # any longest one will do
+                if sum(len(x) for x, m in zip(a, mask, strict=True) if m) < html_text.COPY_SHARE * sum(map(len, a)):
+                    expected = [x for x, m in zip(a, mask, strict=True) if not m]
+                    break
+            else:
+                expected = lines[page]
+            differenced += 1
+        assert out[page] == "\n".join(expected)
+    assert differenced == 90
+
+
+def test_equal_neighbours(spark):
+    """Ties: pages at one path, equal in lines or not, and a page whose two neighbours are as near."""
+    page = lambda body: f"<body><p>menu line here</p><p>{body}</p><p>closing line</p></body>"
+    rows = [(k, "http://h/p", page("the same words")) for k in range(4)] + [(9, "http://h/p", page("other words than those")), (10, "http://h/q", page("a third text of words"))]
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {0: "the same words", 1: "the same words", 2: "the same words", 3: "the same words", 9: "other words than those", 10: "a third text of words"}
+
+
 # --- repeats
 
 
