@@ -17,22 +17,34 @@ from spindrift.llm.simhash import drop_near_duplicates
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the classifier learns from the labelled ones among them."""
+    """Documents that score below the threshold; the classifier learns from the labelled ones among them.
+
+    Null and empty texts stay; equal rows go or stay together; without usable labels the
+    fixed lexicon decides; an empty table gives an empty one. Extra columns stay.
+    """
     return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id."""
+    """Of each group of near duplicates the document of the smallest id.
+
+    Null and empty texts are one group, a null id comes last, of rows equal in all columns
+    one stays; an empty table gives an empty one. Extra columns stay.
+    """
     return drop_near_duplicates(docs)
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts stay; items without words match nothing; with an empty benchmark
+    all stay; an empty table gives an empty one. Extra columns of either table don't matter.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in them masked."""
+    """All documents, secrets in them masked and n_chars renewed where a text changed. Null texts stay null."""
     return redact_secrets(docs)
 
 
