@@ -29,6 +29,9 @@ WIDE_FORMULA = (
 )
 
 
+CANDIDATE_HORIZONS = (1, 5, 15, 30)
+
+
 def batch_formulas(n: int = 32) -> list[str]:
     """A batch of different formulas that share parts, as a search makes them."""
     fields = ["close", "volume", "amount", "high"]
@@ -44,19 +47,28 @@ def operators_20(spark, d) -> DataFrame:
 
 
 def candidates_32(spark, d) -> DataFrame:
+    """A batch of candidates with all their metrics, shard by shard at four horizons, and how alike they are."""
     rows = [{"expression_hash": f"h{k}", "expression": t} for k, t in enumerate(batch_formulas())]
-    metrics, alike = measure(minute_panel(spark, d).cache())(rows)
+    metrics, alike = measure(minute_panel(spark, d).cache(), CANDIDATE_HORIZONS, "shard_index")(rows)
     return metrics.join(alike.groupBy(F.col("left").alias("expression_hash")).agg(F.max(F.abs("signal_rank_corr")).alias("nearest")), "expression_hash", "left")
 
 
 def augmented(spark, d) -> DataFrame:
-    out = j.asof(minute_panel(spark, d), _facts(spark, d), ["code"], "date", "source_date", ["spent", "n"])
-    out = j.asof_market(out, _market(spark, d), "date", "source_date", ["mood"])
-    return j.event_cutoff_join(out, _once(spark, d), ["first_value"])
+    out = j.asof(minute_panel(spark, d), _facts(spark, d, False), ["code"], "date", "source_date", ["spent", "n"])
+    out = j.asof_market(out, _market(spark, d, False), "date", "source_date", ["mood"])
+    return j.event_cutoff_join(out, _once(spark, d, False), ["first_value"])
 
 
 def rewards(spark, d) -> DataFrame:
-    curve = catalog_metrics.curve(spark, d)
+    """The reward pipeline for eight candidates: sleeves at four horizons, curves, their summary and resampled days."""
+    texts = {f"c{k}": t for k, t in enumerate(batch_formulas()[::4])}
+    panel = evaluate(minute_panel(spark, d), texts)
+    panel = panel.withColumns({f"__r{h}": m.forward_return(panel, h) for h in CANDIDATE_HORIZONS})
+    pairs = [F.struct(F.lit(c).alias("candidate"), F.lit(h).alias("horizon"), F.col(c).alias("signal"), F.col(f"__r{h}").alias("label")) for c in texts for h in CANDIDATE_HORIZONS]
+    by = ["candidate", "horizon", "shard_index"]
+    rows = panel.select("code", "trade_time", "shard_index", F.inline(F.array(*pairs)))
+    ranked = rows.withColumns({"signal_rank": m.section_rank("signal", [*by, "trade_time"]), "direction": F.lit(1.0)})
+    curve = m.sleeve_curve(m.portfolio_returns(ranked, by, least=2), ["candidate"]).persist()
     boots = m.day_bootstrap(m.daily_returns(curve, ["candidate"]), ["candidate"])
     return m.curve_summary(curve, ["candidate"]).join(boots, "candidate")
 
@@ -86,7 +98,7 @@ def main() -> int:
         minutes = minute_panel(spark, sf_dir).count()
     finally:
         spark.stop()
-    rate = round(len(batch_formulas()) * 2 * minutes / seconds["candidates_32"], 1)
+    rate = round(len(batch_formulas()) * len(CANDIDATE_HORIZONS) * minutes / seconds["candidates_32"], 1)
     line = {"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "cold": cold, "candidate_horizon_rows_per_sec": rate, "cpus": int(cpus), "sf": sf_dir.rsplit("sf", 1)[-1]}
     print(json.dumps(line))
     return 0

@@ -165,6 +165,30 @@ def register(catalog: Catalog) -> None:
             out = ic if out is None else out.join(ic, by, "full")
         return _rounded(out, by)
 
+    @catalog.query(
+        "loop_metrics",
+        f"""{whole}, sec as (select {part}, {corr_sql("sr", "lr")} as ic, avg(case when sr >= 0.8 then label end) - avg(case when sr <= 0.2 then label end) as spread from rk group by all having count(*) >= 5),
+        ms as (select candidate, horizon, avg(ic) as ic_mean, avg(abs(ic)) as ic_abs_mean, avg(case when ic > 1e-12 then 1.0 when ic is not null then 0.0 end) as ic_hit_rate, avg(spread) as spread_mean, avg(abs(spread)) as spread_abs_mean, avg(case when spread > 0 then 1.0 when spread is not null then 0.0 end) as spread_hit_rate from sec group by all),
+        wl as (select *, lag(signal) over w as sp, lead(signal) over w as sf from lg window w as (partition by candidate, horizon, code order by trade_time)),
+        rw as (select *, {rank_sql("sp", part)} as spr, {rank_sql("sf", part)} as sfr, {rank_sql("label", part)} as lr from wl),
+        la as (select {part}, {corr_sql("spr", "lr")} as p, {corr_sql("sfr", "lr")} as f from rw group by all having count(*) >= 5),
+        lm as (select candidate, horizon, avg(p) as wrong_lag_prev_ic_mean, avg(f) as wrong_lag_future_ic_mean from la group by all),
+        v as (select distinct candidate, trade_time, code, sr from rk where horizon = 1 and sr is not null), s as (select candidate, trade_time, list(code) filter (sr >= 0.8) as tp, list(code) filter (sr <= 0.2) as bt from v group by all),
+        p as (select *, lag(coalesce(tp, [])) over w as pt, lag(coalesce(bt, [])) over w as pb, row_number() over w as rn from s window w as (partition by candidate order by trade_time)),
+        tn as (select candidate, avg(((1 - len(list_intersect(tp, pt)) / len(tp)::double) + (1 - len(list_intersect(bt, pb)) / len(bt)::double)) / 2) as mean_one_way_turnover from p where rn > 1 and len(tp) > 0 and len(bt) > 0 group by 1),
+        al as (select * from ms left join lm using (candidate, horizon) left join tn using (candidate))
+        select candidate, horizon, round(ic_mean, 6) as aligned_ic_mean, round(ic_abs_mean, 6) as ic_abs_mean, round(ic_hit_rate, 6) as ic_hit_rate, round(spread_mean, 6) as spread_mean, round(spread_abs_mean, 6) as spread_abs_mean, round(spread_hit_rate, 6) as spread_hit_rate,
+        round(wrong_lag_prev_ic_mean, 6) as wrong_lag_prev_ic_mean, round(wrong_lag_future_ic_mean, 6) as wrong_lag_future_ic_mean, round(mean_one_way_turnover, 6) as mean_one_way_turnover,
+        concat_ws('|', case when ic_mean is null or ic_mean <= 0 then 'primary_direction_not_reproduced' end, case when abs(wrong_lag_future_ic_mean) >= abs(ic_mean) * 0.9 then 'future_signal_wrong_lag_too_strong' end, case when mean_one_way_turnover > 0.95 then 'extreme_minute_turnover' end) as blocker_flags from al""",
+    )
+    def loop_metrics(spark, sf_dir):
+        from spindrift.catalog.search import measure
+
+        rows = [{"expression_hash": n, "expression": text} for n, text in FORMULAS.items()]
+        found, _ = measure(minute_panel(spark, sf_dir), tuple(HORIZONS))(rows)
+        means = ["aligned_ic_mean", "ic_abs_mean", "ic_hit_rate", "spread_mean", "spread_abs_mean", "spread_hit_rate", "wrong_lag_prev_ic_mean", "wrong_lag_future_ic_mean", "mean_one_way_turnover"]
+        return found.select(F.col("expression_hash").alias("candidate"), "horizon", *[rnd(F.col(c)).alias(c) for c in means], "blocker_flags")
+
     shard = f"""{start}, sp as (select {SECTION}, avg(case when sr >= 0.8 then label end) - avg(case when sr <= 0.2 then label end) as spread from rk group by all),
     sm as (select {PORT_BY}, avg(spread) as spread_mean, avg(abs(spread)) as spread_abs_mean, avg(case when spread > 0 then 1.0 else 0.0 end) as spread_hit_rate from sp where spread is not null group by all),
     mt as (select r.candidate, r.horizon, r.shard_index, count(distinct signal) as signal_unique, count(signal) as signal_nonnull, count(*) as eval_rows from rk r group by all),

@@ -10,39 +10,86 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.numeric import divide
 from spindrift.functions.numeric import steady_round as rnd
+from spindrift.operators.gates import shape_features, sorted_fields
 
-# Limits of the smoke flags.
+# Limits of the smoke flags (survey A26).
 LEAST_IC, LEAST_WINDOWS, LEAST_POSITIVE = 0.01, 4, 0.5
+# Lengths of the lists of groups to watch and to demote (survey M31).
+WATCHED, DEMOTED, LEAST_DEMOTED = 8, 12, 2
+# Limits of the research pool, and parts of a round's score as (weight, full mark) (survey M34).
+POOL_TURNOVER, POOL_IC, POOL_HORIZONS = 0.98, 0.025, 1
+ROUND_PARTS = {"research_pool": (0.45, None), "non_future": (0.20, None), "lanes": (0.15, 18.0), "fieldsets": (0.12, 30.0), "shapes": (0.08, 24.0), "top10_abs_ic_mean": (0.08, 0.08)}
+# Weights of integration states, field families and stated priorities (survey M42).
+STATE_WEIGHTS = {"panel_only": 5.0, "factor_pack_only_missing_panel": 4.5, "contract_only": 3.0, "probe_or_backlog": 2.0, "integrated_selector_ready": 1.0, "integrated_selector_selected": 0.5}
+FAMILY_WEIGHTS = {
+    "limit_event_sentiment": 3.0,
+    "flow_liquidity": 2.8,
+    "capacity_size": 2.6,
+    "leverage_flow": 2.4,
+    "group_market_context": 2.3,
+    "disclosure_event_flow": 2.1,
+    "fundamental_quality_risk": 1.8,
+    "holder_corporate_action": 1.6,
+    "price_state": 1.2,
+    "fundamental": 1.2,
+}
+PRIORITY_WEIGHTS = {"very_high": 3.0, "high": 2.0, "medium": 1.0, "low": 0.2}
+# What a replay's long-only decision is worth (survey C19).
+DECISION_WORTH = {"LONG_ONLY_REVIEW": 0.14, "WATCHLIST_LONG_ONLY": 0.08, "HOLD_WEAK_LONG_ONLY": 0.0, "REJECT_NO_LONG_ONLY_METRICS": -0.10, "REJECT_NON_POSITIVE_LONG_RETURN": -0.12}
+UNKNOWN_DECISION_WORTH = -0.02
 #: Dimensions of profiles that say which are compared.
 CELL_DIMENSIONS = 3
 
 
 def replay_objective(evaluations: DataFrame) -> DataFrame:
-    """By each key an evaluation belongs to (lane, source, cell, field): how many, how many passed, mean correlation, and what follows."""
+    """By each group an evaluation belongs to (lane, source, cell, field): how many, how many passed, mean correlation, and what follows.
+
+    Of the groups of which none passed, the best few of a positive mean are watched; of those
+    of two or more evaluations and no positive mean the first few, worst first, are demoted.
+    """
     keys = F.concat(
-        F.array(*[F.struct(F.lit(k).alias("group"), F.col(k).alias("key")) for k in ("lane", "source", "cell")]),
-        F.transform(F.split("fields", r"\|"), lambda f: F.struct(F.lit("field").alias("group"), f.alias("key"))),
+        F.array(*[F.struct(F.lit(k).alias("group"), F.coalesce(F.nullif(F.col(k), F.lit("")), F.lit("unknown")).alias("key")) for k in ("lane", "source", "cell")]),
+        F.transform(F.filter(F.split("fields", r"\|"), lambda f: f != ""), lambda f: F.struct(F.lit("field").alias("group"), f.alias("key"))),
     )
     out = evaluations.select("passed", "mean_ic", F.inline(keys)).groupBy("group", "key").agg(
-        F.count("*").alias("evaluations"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), F.avg("mean_ic").alias("mean_ic")
+        F.count("*").alias("evaluations"), F.count_if("passed").alias("passed"), F.avg("mean_ic").alias("mean_ic")
     )
-    status = F.when((F.col("evaluations") >= 3) & (F.col("pass_rate") >= 0.5) & (F.col("mean_ic") > 0), "watched").when((F.col("evaluations") >= 3) & (F.col("pass_rate") == 0), "demoted").otherwise("neutral")
-    return out.withColumn("status", status)
+    out = out.withColumn("pass_rate", divide(F.col("passed"), F.col("evaluations")))
+    idle = out.where("passed = 0")
+    watched = idle.where("mean_ic > 0").orderBy(F.desc("mean_ic"), "group", "key").limit(WATCHED)
+    demoted = idle.where((F.col("evaluations") >= LEAST_DEMOTED) & (F.coalesce("mean_ic", F.lit(0.0)) <= 0)).orderBy(F.asc_nulls_first("mean_ic"), F.desc("evaluations"), "group", "key").limit(DEMOTED)
+    marked = watched.select("group", "key", F.lit("watched").alias("status")).unionAll(demoted.select("group", "key", F.lit("demoted")))
+    return out.join(marked, ["group", "key"], "left").withColumn("status", F.coalesce("status", F.lit("neutral")))
+
+
+def best_ic() -> Column:
+    """The size of a decision's correlation: the absolute one, or where that is missing or nil the aligned one."""
+    return F.abs(F.coalesce(F.nullif(F.col("abs_aligned_ic_mean"), F.lit(0.0)), "aligned_ic_mean", F.lit(0.0)))
 
 
 def round_metrics(decisions: DataFrame) -> DataFrame:
-    """One row of a round: how much is worth research, free of wrong lags, and how diverse."""
-    share = lambda test: divide(F.count_if(test), F.count("*"))
-    lagged = F.contains("blocker_flags", F.lit("future_signal_wrong_lag"))
-    diverse = lambda c: divide(F.count_distinct(c), F.count("*"))
-    out = decisions.agg(
+    """One row of a round: how much is worth research, free of wrong lags, how diverse, how good its best, and the score of it all."""
+    shaped = shape_features(decisions.withColumn("__fields_of", F.array_join(sorted_fields(F.coalesce("expression", F.lit(""))), "|")))
+    future = F.contains(F.coalesce("blocker_flags", F.lit("")), F.lit("future_signal_wrong_lag_too_strong"))
+    crowded = F.contains(F.coalesce("blocker_flags", F.lit("")), F.lit("signal_corr_abs"))
+    pool = ~future & (F.coalesce("mean_one_way_turnover", F.lit(0.0)) <= POOL_TURNOVER) & (best_ic() >= POOL_IC) & (F.coalesce("positive_horizon_count", F.lit(0.0)).cast("int") >= POOL_HORIZONS)
+    shape = F.when(F.col("expression") != "", F.concat_ws("|", "ast_depth_bin", "ast_operator_count_bin", "ast_field_count_bin", "ast_complexity_bin"))
+    distinct = lambda c: F.count_distinct(F.nullif(c, F.lit("")))
+    counted = shaped.agg(
         F.count("*").alias("candidates"),
-        share((F.col("blocker_flags") == "") & (F.col("abs_aligned_ic_mean") >= 0.02)).alias("research_share"),
-        share(~lagged).alias("non_future_share"),
-        diverse("lane").alias("lane_diversity"),
-        diverse("expression").alias("shape_diversity"),
+        F.count_if(future | crowded).alias("hard_blocked"),
+        F.count_if(~future).alias("non_future"),
+        F.count_if(pool).alias("research_pool"),
+        distinct(F.col("lane")).alias("lanes"),
+        distinct(F.col("__fields_of")).alias("fieldsets"),
+        distinct(shape).alias("shapes"),
+        F.max(best_ic()).alias("best_abs_ic"),
     )
-    score = 0.4 * F.col("research_share") + 0.3 * F.col("non_future_share") + 0.15 * F.col("lane_diversity") + 0.15 * F.col("shape_diversity")
+    top = decisions.select(best_ic().alias("__ic")).orderBy(F.desc("__ic")).limit(10).agg(F.coalesce(F.avg("__ic"), F.lit(0.0)).alias("top10_abs_ic_mean"))
+    out = counted.crossJoin(F.broadcast(top))  # one row each
+    size = F.greatest(F.col("candidates"), F.lit(1))
+    part = lambda name, full: F.col(name) / size if full is None else F.least(F.lit(1.0), F.col(name) / F.lit(full))
+    score = sum((part(name, full) * F.lit(weight) for name, (weight, full) in ROUND_PARTS.items()), F.lit(0.0))
     return out.withColumn("round_score", score)
 
 
@@ -54,25 +101,50 @@ def pack_preflight(pack: DataFrame, present: list[str]) -> DataFrame:
 
 
 def integration_priority(fields: DataFrame) -> DataFrame:
-    """What state a field's integration is in, and how urgent it is."""
+    """What state a field's integration is in, and how urgent its repair is.
+
+    fields: rows with blocked_or_metadata, selector_selected, factor_pack_referenced and
+    panel_materialized (missing: no), asset_status, source_registry, source_group,
+    field_family and priority.
+    """
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
-    status = F.when(~f("has_asset"), "missing_asset").when(~f("in_panel"), "not_in_panel").when(~f("in_pack"), "not_in_pack").when(~f("selected"), "not_selected").otherwise("integrated")
-    weights = {"has_asset": 30, "in_panel": 20, "in_pack": 10, "selected": -40, "event_like": 15}
-    score = sum((F.when(f(c), w).otherwise(0) for c, w in weights.items()), F.lit(0))
-    return fields.withColumns({"status": status, "priority": score})
+    probe = F.coalesce(F.col("asset_status").isin("blocked", "backlog"), F.lit(False))
+    for c in ("source_registry", "source_group"):
+        probe |= F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("probe"))
+    packed, panel = f("factor_pack_referenced"), f("panel_materialized")
+    state = (
+        F.when(f("blocked_or_metadata"), "blocked_or_metadata")
+        .when(f("selector_selected"), "integrated_selector_selected")
+        .when(packed & panel, "integrated_selector_ready")
+        .when(panel, "panel_only")
+        .when(packed, "factor_pack_only_missing_panel")
+        .when(probe, "probe_or_backlog")
+        .otherwise("contract_only")
+    )
+    worth = lambda c, table: F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[c], F.lit(0.0))
+    out = fields.withColumn("integration_status", state)
+    score = (
+        worth(F.col("integration_status"), STATE_WEIGHTS)
+        + worth(F.col("field_family"), FAMILY_WEIGHTS)
+        + worth(F.lower("priority"), PRIORITY_WEIGHTS)
+        + F.when(panel != packed, 1.0).otherwise(0.0)
+    )
+    return out.withColumn("priority_score", score)
 
 
 def integration_audit(assets: DataFrame, pack_refs: DataFrame, selector_refs: DataFrame, panel_fields: list[str]) -> DataFrame:
     """One row for each field that any source names: where it is found, its state and its priority.
 
-    Each source is a table with a ``field``; assets also have an ``asset``.
+    Each source is a table with a ``field``; assets also have an ``asset`` and what is
+    stated of the field (asset_status, source_registry, source_group, field_family,
+    priority, blocked_or_metadata); of several statements the first by value counts.
     """
-    found = assets.groupBy("field").agg(F.array_join(F.array_sort(F.collect_set("asset")), "|").alias("assets"), F.lit(True).alias("has_asset"))
-    packed = pack_refs.groupBy("field").agg(F.count("*").alias("pack_refs"), F.lit(True).alias("in_pack"))
-    chosen = selector_refs.groupBy("field").agg(F.count("*").alias("selector_refs"), F.lit(True).alias("selected"))
+    stated = ("asset_status", "source_registry", "source_group", "field_family", "priority")
+    found = assets.groupBy("field").agg(F.array_join(F.array_sort(F.collect_set("asset")), "|").alias("assets"), F.bool_or("blocked_or_metadata").alias("blocked_or_metadata"), *[F.min(c).alias(c) for c in stated])
+    packed = pack_refs.groupBy("field").agg(F.count("*").alias("pack_refs"), F.lit(True).alias("factor_pack_referenced"))
+    chosen = selector_refs.groupBy("field").agg(F.count("*").alias("selector_refs"), F.lit(True).alias("selector_selected"))
     merged = found.join(packed, "field", "full").join(chosen, "field", "full")
-    flagged = merged.withColumns({"in_panel": F.col("field").isin(panel_fields), "event_like": F.col("field").rlike("limit|event|seal")})
-    return integration_priority(flagged)
+    return integration_priority(merged.withColumn("panel_materialized", F.col("field").isin(panel_fields)))
 
 
 def memory_stats(memory: DataFrame) -> DataFrame:
@@ -93,29 +165,72 @@ def enrich_memory(memory: DataFrame, replays: DataFrame) -> DataFrame:
     return joined.select(*memory.columns, F.coalesce("__a", "__b").alias("replay_reward"), F.when(F.col("__a").isNotNull(), "candidate_id").when(F.col("__b").isNotNull(), "expression_key").alias("matched_by"))
 
 
+def _within(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
 def replay_reward() -> Column:
-    """A replay's worth, within ±1: correlation, stability and turnover."""
-    raw = 4.0 * F.coalesce("mean_ic", F.lit(0.0)) + 0.3 * (F.coalesce("hit_rate", F.lit(0.5)) - 0.5) - 0.5 * F.greatest(F.coalesce("turnover", F.lit(0.0)) - 0.5, F.lit(0.0))
-    return F.greatest(F.least(raw, F.lit(1.0)), F.lit(-1.0))
+    """A replay's worth to the searchers: its long-only decision, long return and Sortino, correlation, tradability, less its smoke flags.
+
+    Reads auto_long_only_decision, mean_window_long_return, mean_window_long_sortino,
+    mean_window_rank_ic, tradability_filter_available and smoke_flags (an array).
+    """
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    decision = F.coalesce(F.create_map(*[F.lit(x) for kv in DECISION_WORTH.items() for x in kv])[F.col("auto_long_only_decision")], F.lit(UNKNOWN_DECISION_WORTH))
+    return (
+        decision
+        + _within(number("mean_window_long_return") * 40.0, -0.18, 0.18)
+        + _within(number("mean_window_long_sortino") * 0.08, -0.16, 0.24)
+        + _within(number("mean_window_rank_ic") * 4.0, -0.08, 0.08)
+        + F.when(F.coalesce("tradability_filter_available", F.lit(False)), 0.02).otherwise(-0.03)
+        - F.least(F.lit(0.12), F.coalesce(F.size("smoke_flags"), F.lit(0)) * 0.04)
+    )
+
+
+def candidate_reward() -> Column:
+    """A candidate's worth before any replay: kept, new, fully evaluated, its measures and earlier feedback, less its complexity.
+
+    Reads retained, novel_structure, full_evaluation_reached, ic_max, oos_stability,
+    ic_positive_coverage, real_replay_feedback_score, char_count and operator_count.
+    """
+    flag = lambda c, yes, no: F.when(F.coalesce(F.col(c), F.lit(False)), yes).otherwise(no)
+    return (
+        flag("retained", 0.20, -0.10)
+        + flag("novel_structure", 0.08, -0.03)
+        + flag("full_evaluation_reached", 0.06, 0.0)
+        + F.col("ic_max") * 0.32
+        + F.col("oos_stability") * 0.20
+        + F.col("ic_positive_coverage") * 0.14
+        + F.least(F.lit(0.18), F.coalesce("real_replay_feedback_score", F.lit(0.0)))
+        - F.least(F.lit(0.35), F.col("char_count") / 4000.0 + F.col("operator_count") / 800.0)
+    )
 
 
 def smoke_flags(windows: DataFrame, recent: int = 4, key: str = "candidate") -> DataFrame:
-    """By candidate, over its windows: means, recent means, what speaks against it, and the first decision."""
+    """By candidate, over its windows: means, recent means, what speaks against it, and the first decision.
+
+    Means leave out windows without a value; the share of positive windows is that of the recent ones.
+    """
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("window")))
-    w = windows.withColumn("__recent", place <= recent)
+    w = windows.withColumn("__recent", F.when(place <= recent, F.col("mean_rank_ic")))
     out = w.groupBy(key).agg(
-        F.count("mean_rank_ic").alias("windows"),
+        F.count("*").alias("windows"),
         F.avg("mean_rank_ic").alias("mean_ic"),
-        F.avg(F.when(F.col("__recent"), F.col("mean_rank_ic"))).alias("recent_ic"),
-        F.avg(F.when(F.col("mean_rank_ic").isNotNull(), (F.col("mean_rank_ic") > 0).cast("double"))).alias("positive_ratio"),
+        F.avg("__recent").alias("recent_ic"),
+        F.avg((F.col("__recent") > 0).cast("double")).alias("recent_positive_ratio"),
     )
     against = [
-        F.when(F.col("mean_ic").isNull() | (F.col("mean_ic") < LEAST_IC), "weak_mean_ic"),
-        F.when(F.col("recent_ic").isNull() | (F.col("recent_ic") <= 0), "recent_ic_not_positive"),
-        F.when(F.coalesce("positive_ratio", F.lit(0.0)) < LEAST_POSITIVE, "few_positive_windows"),
-        F.when(F.col("windows") < LEAST_WINDOWS, "few_windows"),
+        F.when(F.col("mean_ic").isNull(), "no_valid_quarterly_rank_ic").when(F.col("mean_ic") < LEAST_IC, "weak_mean_rank_ic_below_0_01"),
+        F.when(F.col("recent_ic").isNull(), "no_recent_quarterly_rank_ic").when(F.col("recent_ic") <= 0, "non_positive_recent_mean_rank_ic"),
+        F.when(F.col("recent_positive_ratio") < LEAST_POSITIVE, "recent_positive_quarter_ratio_below_0_5"),
+        F.when(F.col("windows") < LEAST_WINDOWS, "insufficient_quarterly_windows"),
     ]
-    decision = F.when(F.col("mean_ic") >= LEAST_IC, "review").when(F.col("mean_ic") > 0, "watch").otherwise("reject")
+    decision = (
+        F.when(F.col("mean_ic").isNull(), "reject_no_valid_recent_ic")
+        .when(F.col("mean_ic") >= LEAST_IC, "needs_full_history_review")
+        .when(F.col("mean_ic") > 0, "watchlist_weak_positive_recent_ic")
+        .otherwise("reject_non_positive_recent_ic")
+    )
     return out.withColumns({"flags": F.concat_ws("|", *against), "decision": decision})
 
 
@@ -149,16 +264,31 @@ def enrich_pool(pool: DataFrame, additions: DataFrame, memory: DataFrame, caps:
     return pool.unionByName(kept, allowMissingColumns=True)
 
 
-def bucket_budgets(total: int, event: float, research: float, fundamental: float) -> dict[str, int]:
-    """Shares within their limits, the rest dealt by fixed parts, in whole numbers that sum to the total."""
-    head = {"event": min(0.60, max(0.0, event)), "research": min(0.35, max(0.0, research)), "fundamental": min(0.25, max(0.0, fundamental))}
-    rest = max(0.0, 1.0 - sum(head.values()))
-    parts = {"price": 0.43, "flow": 0.21, "range": 0.20, "opening": 0.13, "other": 0.03}
-    shares = head | {k: rest * v for k, v in parts.items()}
-    scale = sum(shares.values()) or 1.0
-    from spindrift.operators.feedback import whole_budgets
+# Most that a share may be, what the rest is dealt to, and the order in which buckets give way (survey A10).
+BUDGET_CAPS = {"event": 0.60, "research": 0.35, "fundamental": 0.25}
+REST_SHARES = {"r0_cem_led": 0.43, "ast_failure_aware_repair": 0.21, "agnostic_freeform_ast": 0.20, "formula_gen_v2_repair_expansion": 0.13}
+RESIDUAL = "replay_aware_residual"
+GIVE_WAY = (RESIDUAL, "formula_gen_v2_repair_expansion", "agnostic_freeform_ast", "ast_failure_aware_repair", "r0_cem_led", "research", "fundamental", "event")
 
-    return whole_budgets({k: v / scale for k, v in shares.items()}, total)
+
+def bucket_budgets(total: int, event: float, research: float, fundamental: float = 0.0) -> dict[str, int]:
+    """Whole budgets that sum to ``total``: capped shares, each rounded, and the rest in fixed parts.
+
+    Where the three shares are too much, research gives way first, then fundamental. What
+    rounding leaves over is the residual bucket's; what it takes too much is given back in
+    ``GIVE_WAY``'s order, and what is missing then goes to the first of the fixed parts.
+    """
+    total = max(1, int(total))
+    out = {k: round(total * min(BUDGET_CAPS[k], max(0.0, float(v)))) for k, v in (("event", event), ("research", research), ("fundamental", fundamental))}
+    for name in ("research", "fundamental"):
+        out[name] -= min(out[name], max(0, sum(out.values()) - total))
+    rest = max(0, total - sum(out.values()))
+    dealt = {k: round(rest * v) for k, v in REST_SHARES.items()}
+    out |= dealt | {RESIDUAL: max(0, rest - sum(dealt.values()))}
+    for name in GIVE_WAY:
+        out[name] -= min(out[name], max(0, sum(out.values()) - total))
+    out["r0_cem_led"] += total - sum(out.values())
+    return out
 
 
 def lifecycle_audit(coverage: DataFrame, usage: DataFrame, required: list[str], least_fields: int, lanes: list[str]) -> dict:
@@ -196,21 +326,34 @@ def feedback_allowed(clean: int, least: int, arm_override: bool | None, exploit_
     return True, ""
 
 
-def proxy_audit(spreads: DataFrame, by: list[str], iterations: int = 400) -> DataFrame:
-    """Candidates by their sign-aligned spreads over shards and horizons: Sortino, resampled odds, and one of five decisions."""
+def proxy_audit(candidates: DataFrame, cells: DataFrame, by: list[str], iterations: int = 2000) -> DataFrame:
+    """Candidates by their sign-aligned spreads over shards and horizons: Sortino, resampled odds, and what to do.
+
+    candidates: rows (by, aligned_ic_mean, mean_one_way_turnover, blocker_flags); cells: rows
+    (by, cell, spread, ic). A candidate of negative aligned correlation is turned round. Of
+    the reasons to hold a candidate back the first counts; a missing or nil turnover is one.
+    """
     from spindrift.functions.numeric import sortino_of_shortfall
     from spindrift.operators.metrics import day_bootstrap
 
-    aligned = spreads.withColumn("value", F.col("spread") * F.signum(F.avg("ic").over(Window.partitionBy(*by))))
-    own = aligned.groupBy(*by).agg(F.count("value").alias("cells"), F.avg("value").alias("mean_value"), sortino_of_shortfall(F.col("value")).alias("sortino"), F.max(F.col("lagged").cast("int")).alias("lagged"))
-    odds = day_bootstrap(aligned.select(*by, "cell", "value"), by, iterations, value="value").select(*by, "prob_gt_0")
-    out = own.join(odds, by, "left")
+    sign = F.when(F.coalesce("aligned_ic_mean", F.lit(0.0)) >= 0, 1.0).otherwise(-1.0)
+    aligned = cells.join(candidates.select(*by, sign.alias("__sign")), by).select(*by, "cell", (F.col("spread") * F.col("__sign")).alias("value"), (F.col("ic") * F.col("__sign")).alias("signed_ic"))
+    own = aligned.groupBy(*by).agg(
+        F.count("value").alias("proxy_obs"),
+        F.avg("value").alias("proxy_mean_spread"),
+        F.avg((F.col("value") > 0).cast("double")).alias("proxy_hit_rate"),
+        sortino_of_shortfall(F.col("value")).alias("proxy_sortino"),
+        F.avg("signed_ic").alias("proxy_mean_signed_ic"),
+    )
+    odds = day_bootstrap(aligned.select(*by, "cell", "value"), by, iterations, value="value").select(*by, F.col("prob_gt_0").alias("prob_sortino_gt_0"))
+    out = candidates.join(own, by, "left").join(odds, by, "left")
+    turnover = F.coalesce(F.nullif(F.col("mean_one_way_turnover"), F.lit(0.0)), F.lit(999.0))
     decision = (
-        F.when(F.col("lagged") > 0, "reject_wrong_lag")
-        .when(F.col("cells") < 4, "hold_too_few_cells")
-        .when((F.col("mean_value") <= 0) | (F.coalesce("prob_gt_0", F.lit(0.0)) < 0.5), "reject_negative")
-        .when(F.coalesce("prob_gt_0", F.lit(0.0)) < 0.8, "watch_unstable")
-        .otherwise("followup")
+        F.when(F.trim(F.coalesce("blocker_flags", F.lit(""))) != "", "HOLD_BLOCKED")
+        .when(F.coalesce("prob_sortino_gt_0", F.lit(0.0)) < 0.80, "HOLD_WEAK_MCMC")
+        .when(F.coalesce("proxy_sortino", F.lit(0.0)) <= 0, "HOLD_NEGATIVE_SORTINO")
+        .when(turnover > 0.75, "HOLD_EXTREME_TURNOVER")
+        .otherwise("REWARD_AUDIT_FOLLOWUP")
     )
     return out.withColumn("decision", decision)
 
@@ -264,13 +407,117 @@ def expression_profile(formulas: DataFrame, profiles: DataFrame) -> DataFrame:
     return x.groupBy("expression", "dim").agg(F.avg("v").alias("value"))
 
 
-def schema_defaults(candidates: DataFrame) -> DataFrame:
-    """The candidate columns that follow from others: buckets, family and motif ids."""
-    filled = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d))
-    turnover = F.when(F.col("mean_one_way_turnover").isNull(), "unknown").when(F.col("mean_one_way_turnover") <= 0.35, "low").when(F.col("mean_one_way_turnover") <= 0.75, "medium").otherwise("high")
-    out = candidates.withColumns({"generator_arm": filled("generator_arm", "unknown"), "factor_lane": filled("factor_lane", "unknown"), "turnover_bucket": turnover, "horizon_bucket": F.when(F.col("horizon") <= 5, "short").when(F.col("horizon") <= 15, "medium").otherwise("long")})
-    family = F.concat_ws("|", "factor_lane", "fields", "horizon_bucket")
-    return out.withColumns({"family_id": F.substring(F.sha2(family, 256), 1, 18), "motif_id": F.substring(F.sha2(F.concat_ws("|", "factor_lane", "turnover_bucket"), 256), 1, 18)})
+# Which words in a formula's fields or lane put it into which family (survey G13). Families of a kind are listed by name.
+FIELD_FAMILIES = {
+    "flow_amount_volume": "amount|volume|vol",
+    "intraday_return": "intraday_ret_from_open|ret_1m",
+    "lagged_context": "rzrq|billboard|holder",
+    "limit_event_state": "limit|board|up_limit|lb_",
+    "opening_state": "m1_first|opening|auction",
+    "range_location": "range_location|range|high|low",
+}
+EVENT_FAMILIES = {"board_transition": "open_board|touch|board", "high_board": "lb_|high_board", "limit_up": "up_limit|limit_up", "opening_state": "auction|m1_first"}
+PRIMITIVE_FAMILIES = {
+    "cross_sectional": ("csrank", "rank", "zscore", "csresidual"),
+    "time_series": ("delta", "delay", "mom", "mean", "std", "wma", "med"),
+    "relation": ("corr", "cov"),
+    "arithmetic": ("mul", "div", "add", "sub"),
+    "state_transform": ("sign", "abs", "neg"),
+}
+ARM_WORDS = {"cem_exploit": "cem", "typed_ast_fresh": "ast|bt", "rx_ucb_fresh": "rx|ucb", "event_state": "event|limit|board", "random_orthogonal": "random|orthogonal", "challenger_repair": "mcts|repair"}
+ROUTE_WORDS = {
+    "phase3bs-adaptive-ucb-cem-practice": "phase3bs",
+    "phase3bt-ast-algorithm-bakeoff": "phase3bt",
+    "phase3bu-ast-fresh-winner-variants": "phase3bu",
+    "phase3cm-train-portfolio-sortino-reward-audit": "phase3cm",
+}
+HORIZON_BUCKETS = ((5, "h1_5"), (15, "h5_15"), (30, "h15_30"))
+TURNOVER_BUCKETS = ((0.35, "low_turnover"), (0.65, "medium_turnover"), (0.85, "high_turnover"))
+
+
+def candidate_schema(candidates: DataFrame) -> DataFrame:
+    """Candidates in the one schema of 36 text columns, whatever columns they come with.
+
+    A value that is there stays; families, buckets and ids that aren't follow from the
+    formula and the other columns. What is unknown is the empty text. Other columns stay behind.
+    """
+    def first(*names: str, default: Column | str = "") -> Column:
+        there = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in candidates.columns]
+        return F.coalesce(*there, F.lit(default) if isinstance(default, str) else default)
+
+    def by_word(text: Column, words: dict[str, str], default: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, pattern in words.items():
+            out = out.when(text.rlike(pattern), name)
+        return out.otherwise(default)
+
+    def tags(text: Column, words: dict[str, str], default: str) -> Column:
+        found = F.concat_ws("+", *[F.when(text.rlike(p), name) for name, p in words.items()])
+        return F.when(found == "", default).otherwise(found)
+
+    def number(*names: str) -> Column:
+        value = first(*names).try_cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+    def bucket(value: Column, edges, beyond: str, unknown: Column, closed: bool) -> Column:
+        out = F.when(value.isNull(), unknown)
+        for edge, name in edges:
+            out = out.when(value <= edge if closed else value < edge, name)
+        return out.otherwise(beyond)
+
+    short = lambda text, n: F.substring(F.sha2(text, 256), 1, n)
+    expression = first("expression")
+    lane = F.lower(first("factor_lane"))
+    own = candidates.withColumns({"__text": expression, "__fields": F.array_join(sorted_fields(expression), "|"), "__names": F.transform(F.regexp_extract_all(expression, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1)), F.lower)})
+    names = F.col("__names")
+    buckets = F.concat_ws("+", *[F.when(F.arrays_overlap(names, F.array(*map(F.lit, group))), family) for family, group in PRIMITIVE_FAMILIES.items()])
+    primitive = F.when(F.size(names) == 0, "raw_field").when(buckets == "", F.array_join(F.array_sort(F.array_distinct(F.slice(names, 1, 4))), "+")).otherwise(buckets)
+    described = F.lower(F.concat_ws(" ", *[first(c) for c in ("generator_arm", "source_generator", "source_lane", "factor_lane", "run", "round_id", "source_round")]))
+    source = first("generator_route", "source_file", "run")
+    multi = F.when(F.contains(F.lower("__text"), F.lit("1,5,15,30")), "multi_1_5_15_30").otherwise("multi_or_unknown")
+    derived = {
+        "__hash": first("expression_hash", default=short(F.col("__text"), 24)),
+        "__field": first("field_family", default=tags(F.concat_ws("|", F.lower("__fields"), lane), FIELD_FAMILIES, "generic_price_volume")),
+        "__primitive": first("primitive_family", default=primitive),
+        "__event": first("event_state_family", default=tags(F.concat_ws("|", F.lower("__text"), F.lower(first("fields")), lane), EVENT_FAMILIES, "none")),
+        "__horizon": first("horizon_bucket", default=bucket(number("horizon_min", "primary_horizon_min", "best_horizon_min"), HORIZON_BUCKETS, "h30_plus", multi, True)),
+        "__turnover": first("turnover_bucket", default=bucket(number("train_mean_one_way_turnover", "mean_one_way_turnover"), TURNOVER_BUCKETS, "extreme_turnover", F.lit("turnover_unknown"), False)),
+        "__subtree": short(F.concat_ws("|", F.array_join(F.slice(names, 1, 6), "|"), F.col("__fields")), 12),
+        "__reward": first("optimizer_reward", "train_reward"),
+    }
+    own = own.withColumns(derived)
+    c = F.col
+    rewarded = lambda text: F.when(c("__reward") != "", text).otherwise("")
+    out = {
+        "candidate_id": first("candidate_id", default=F.substring(c("__hash"), 1, 12)),
+        "expression_hash": c("__hash"),
+        "expression": c("__text"),
+        "generator_arm": first("generator_arm", default=by_word(described, ARM_WORDS, F.lit("unknown_arm"))),
+        "generator_route": first("generator_route", default=by_word(F.lower(source), ROUTE_WORDS, source)),
+        "round_id": first("round_id", "source_round"),
+        "field_family": c("__field"),
+        "primitive_family": c("__primitive"),
+        "event_state_family": c("__event"),
+        "horizon_bucket": c("__horizon"),
+        "turnover_bucket": c("__turnover"),
+        "family_id": first("family_id", default=short(F.concat_ws("|", "__field", "__primitive", "__event", "__horizon", "__turnover", "__subtree"), 18)),
+        "motif_id": first("motif_id", default=short(F.concat_ws("|", "__field", "__primitive", "__event", "__subtree"), 18)),
+        "subtree_hashes": first("subtree_hashes", default=c("__subtree")),
+        "proxy_quality": first("proxy_quality", "phase3ca_proxy_quality", "proxy_sortino", "aligned_ic_mean"),
+        "aligned_ic_mean": first("aligned_ic_mean", "abs_aligned_ic_mean"),
+        "mean_one_way_turnover": first("mean_one_way_turnover", "train_mean_one_way_turnover"),
+        "blocker_flags": first("blocker_flags", "phase3bp_blocker_flags", "inherited_blockers"),
+        "optimizer_reward": c("__reward"),
+        "optimizer_reward_source": first("optimizer_reward_source", default=rewarded("train_only_phase3cm")),
+        "optimizer_reward_metric": first("optimizer_reward_metric", default=rewarded("train_portfolio_sortino_reward")),
+        "optimizer_reward_split": first("optimizer_reward_split", default=rewarded("train")),
+        "validation_usage": first("validation_usage", default="report_only"),
+        "holdout_usage": first("holdout_usage", default="report_only"),
+        "validation_mcmc_prob_gt_0": first("validation_mcmc_prob_gt_0", "validation_day_mcmc_prob_gt_0"),
+        "holdout_mcmc_prob_gt_0": first("holdout_mcmc_prob_gt_0", "holdout_day_mcmc_prob_gt_0"),
+    }
+    plain = "seed parent_id mutation_type spread_hit_rate phase3ca_proxy_quality train_reward train_reward_decision train_reward_blockers validation_day_sortino holdout_day_sortino".split()
+    return own.select(*[value.alias(name) for name, value in (out | {name: first(name) for name in plain}).items()])
 
 
 def append_checkpoint(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:

@@ -144,14 +144,95 @@ def score_flags(aggregated: DataFrame, direction: str = "expected_direction") ->
     return flagged.withColumn("decision", F.when(F.col("blocker_flags") == "", "bl_signal_materialized_pass").otherwise("bl_signal_materialized_watch"))
 
 
+def lagged_signals(signals: DataFrame, names: dict[str, str], keep: list[str], key: str = "expression_hash", time: str = "trade_time") -> DataFrame:
+    """Wide signals (column: key) as rows (key, which, signal, keep ...): each as it is, a row of its code before, and a row after."""
+    order = Window.partitionBy("code").orderBy(time)
+    moved = signals.withColumns({f"__{kind}_{n}": move(n).over(order) for n in names for kind, move in (("prev", F.lag), ("future", F.lead))})
+    rows = [F.struct(F.lit(k).alias(key), F.lit(which).alias("which"), F.col(c).alias("signal")) for n, k in names.items() for which, c in (("now", n), ("prev", f"__prev_{n}"), ("future", f"__future_{n}"))]
+    return moved.select(*keep, F.inline(F.array(*rows)))
+
+
+def batch_metrics(ranked: DataFrame, horizons: list[int], by: list[str], time: str = "trade_time") -> DataFrame:
+    """All metrics of many signals at once, a row by (by, horizon): correlation, spread, turnover, and the controls of a wrong lag.
+
+    ranked: rows of :func:`lagged_signals` with ``signal_rank`` by (by, which, time), and each
+    horizon's label ``__r{h}`` and its rank ``__l{h}``. One aggregation takes all horizons.
+    """
+    section = [*by, "which", time]
+    side = lambda test, h: F.avg(F.when(test, F.col(f"__r{h}")))
+    per = ranked.groupBy(*section).agg(
+        F.count("*").alias("n"),
+        *[correlation("signal_rank", f"__l{h}").alias(f"ic{h}") for h in horizons],
+        *[(side(F.col("signal_rank") >= TOP, h) - side(F.col("signal_rank") <= BOTTOM, h)).alias(f"spread{h}") for h in horizons],
+    ).where("n >= 5")
+    of = lambda which, c: F.when(F.col("which") == which, F.col(c))
+    sums = [
+        F.struct(
+            F.lit(h).alias("horizon"),
+            F.avg(of("now", f"ic{h}")).alias("ic_mean"),
+            F.avg(F.abs(of("now", f"ic{h}"))).alias("ic_abs_mean"),
+            F.avg((of("now", f"ic{h}") > NIL).cast("double")).alias("ic_hit_rate"),
+            F.avg(of("now", f"spread{h}")).alias("spread_mean"),
+            F.avg(F.abs(of("now", f"spread{h}"))).alias("spread_abs_mean"),
+            F.avg((of("now", f"spread{h}") > 0).cast("double")).alias("spread_hit_rate"),
+            F.avg(of("prev", f"ic{h}")).alias("wrong_lag_prev_ic_mean"),
+            F.avg(of("future", f"ic{h}")).alias("wrong_lag_future_ic_mean"),
+        )
+        for h in horizons
+    ]
+    found = per.groupBy(*by).agg(F.array(*sums).alias("by_horizon")).select(*by, F.inline("by_horizon"))
+    now = ranked.where("which = 'now'")
+    counts = now.groupBy(*by).agg(F.count_distinct("signal").alias("signal_unique"), F.count("signal").alias("signal_nonnull"), F.count("*").alias("eval_rows"))
+    turnover = turnover_summary(rank_turnover(now.select(*by, time, "code", "signal_rank"), by, time), by)
+    return found.join(turnover, by, "left").join(counts, by)
+
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _cross_sums(size: int):
+    """Of batches of vectors: for each two places the sums that their correlation needs, over the rows that have both."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((len(_SUMS), size, size))
+        for batch in batches:
+            values = batch.column(0)
+            flat = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+            there = (~np.isnan(flat)).astype(float)
+            x = np.nan_to_num(flat)
+            total += np.stack([there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x])
+        left, right = np.triu_indices(size, 1)
+        columns = [pa.array(left, pa.int32()), pa.array(right, pa.int32()), *(pa.array(t[left, right]) for t in total)]
+        yield pa.RecordBatch.from_arrays(columns, names=["i", "j", *_SUMS])
+
+    return run
+
+
 def pairwise_correlation(wide: DataFrame, names: list[str]) -> DataFrame:
     """Correlation of each two columns over the rows that have both.
 
-    Every row gives one row for each pair of columns (a fixed, bounded number), which
-    partial aggregation takes in before anything is shuffled.
+    Each task adds up cross products of its rows as matrices (one row for each pair of
+    columns a task), and only these sums are shuffled: work grows with the rows times the
+    square of the columns in matrix products, memory with the square of the columns.
     """
-    pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]]
-    return wide.select(F.inline(F.array(*pairs))).groupBy("left", "right").agg(correlation("x", "y").alias("signal_rank_corr"))
+    return vector_correlation(wide.select(F.array(*[F.col(n).cast("double") for n in names]).alias("v")), names)
+
+
+def vector_correlation(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """:func:`pairwise_correlation` of the places of one array column, which ``names`` name."""
+    if len(names) < 2:
+        return vectors.sparkSession.createDataFrame([], "left string, right string, signal_rank_corr double")
+    sums = vectors.mapInArrow(_cross_sums(len(names)), "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    c = F.col
+    spread = lambda s, ss: c("n") * c(ss) - c(s) * c(s)
+    # Sums of equal values leave rounding errors, not nil.
+    varied = lambda s, ss: spread(s, ss) > c("n") * c(ss) * 1e-12
+    corr = F.when((c("n") >= LEAST_JOINT) & varied("sx", "sxx") & varied("sy", "syy"), (c("n") * c("sxy") - c("sx") * c("sy")) / F.sqrt(spread("sx", "sxx") * spread("sy", "syy")))
+    name = lambda k: F.element_at(F.array(*map(F.lit, names)), k + 1)
+    return sums.select(name(c("i")).alias("left"), name(c("j")).alias("right"), corr.alias("signal_rank_corr"))
 
 
 # --- daily validation

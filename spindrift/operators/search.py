@@ -324,4 +324,6 @@ def adaptive_rounds(spark: SparkSession, available: list[str], policy: DataFrame
         moved = [(r["kind"], r["key"], r["score"]) for r in policy_feedback(policy, learned, least=least).collect()]
         policy = spark.createDataFrame(moved, "kind string, key string, score double")
         memory = memory.unionByName(texts.select("expression_hash"))
+    if release := getattr(evaluate, "release", None):
+        release()
     return report
