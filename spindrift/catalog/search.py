@@ -178,7 +178,7 @@ def register(catalog: Catalog) -> None:
     @catalog.query(
         "integration_audit",
         f"""with a as (select case when s_suppkey % 6 = 0 then 'limit' || (s_suppkey % 5) else 'f' || (s_suppkey % 20) end as field, 'asset' || (s_suppkey % 3) as asset, s_suppkey % 17 = 3 as bm, {stated.format(k='s_suppkey')} from supplier), p as (select 'f' || (c_custkey % 25) as field from customer where c_mktsegment = 'BUILDING'),
-        se as (select 'f' || (c_custkey % 11) as field from customer where c_mktsegment = 'MACHINERY' and c_custkey % 11 != 4), fa as (select field, string_agg(distinct asset, '|' order by asset) as assets, bool_or(bm) as blocked_or_metadata, min(asset_status) as asset_status, min(source_registry) as source_registry, min(source_group) as source_group, min(field_family) as field_family, min(priority) as priority from a group by 1),
+        se as (select 'f' || (c_custkey % 11) as field from customer where c_mktsegment = 'MACHINERY' and c_nationkey < 3), fa as (select field, string_agg(distinct asset, '|' order by asset) as assets, bool_or(bm) as blocked_or_metadata, min(asset_status) as asset_status, min(source_registry) as source_registry, min(source_group) as source_group, min(field_family) as field_family, min(priority) as priority from a group by 1),
         fp as (select field, count(*) as pack_refs, true as factor_pack_referenced from p group by 1), fc as (select field, count(*) as selector_refs, true as selector_selected from se group by 1),
         fs as (select coalesce(fa.field, fp.field, fc.field) as field, assets, pack_refs, selector_refs, blocked_or_metadata, factor_pack_referenced, selector_selected, list_contains({_quoted(panel)}, coalesce(fa.field, fp.field, fc.field)) as panel_materialized, asset_status, source_registry, source_group, field_family, priority
           from fa full join fp on fa.field = fp.field full join fc on coalesce(fa.field, fp.field) = fc.field), {integration}
@@ -190,7 +190,7 @@ def register(catalog: Catalog) -> None:
         assets = table(spark, sf_dir, "supplier").select(F.when(sup % 6 == 0, text("limit", sup % 5)).otherwise(text("f", sup % 20)).alias("field"), text("asset", sup % 3).alias("asset"), (sup % 17 == 3).alias("blocked_or_metadata"), *_stated(sup))
         customers = table(spark, sf_dir, "customer")
         packs = customers.where("c_mktsegment = 'BUILDING'").select(text("f", cus % 25).alias("field"))
-        chosen = customers.where("c_mktsegment = 'MACHINERY' and c_custkey % 11 != 4").select(text("f", cus % 11).alias("field"))
+        chosen = customers.where("c_mktsegment = 'MACHINERY' and c_nationkey < 3").select(text("f", cus % 11).alias("field"))
         out = led.integration_audit(assets, packs, chosen, panel)
         return out.select("field", "assets", "pack_refs", "selector_refs", "integration_status", rnd(F.col("priority_score")).alias("priority_score"))
 

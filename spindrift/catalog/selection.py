@@ -72,8 +72,9 @@ def register(catalog: Catalog) -> None:
 
     @catalog.query("capped_select")
     def capped_select(spark, sf_dir):
-        proposals = [r.asDict() for r in s.top_rows(candidates(spark, sf_dir), ["score"], 400, "position").collect()]
-        picked = s.pick_capped(proposals, 60, {"lane": 15, "fields": 4})
+        # All proposals in order, partition by partition, until enough are picked.
+        ordered = candidates(spark, sf_dir).orderBy(F.desc(F.coalesce("score", F.lit(-999.0))), "position")
+        picked = s.pick_capped((r.asDict() for r in ordered.toLocalIterator()), 60, {"lane": 15, "fields": 4})
         return spark.createDataFrame([(r["position"], r["lane"], r["fields"]) for r in picked], "position long, lane string, fields string")
 
     @catalog.query(

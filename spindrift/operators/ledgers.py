@@ -520,6 +520,55 @@ def candidate_schema(candidates: DataFrame) -> DataFrame:
     return own.select(*[value.alias(name) for name, value in (out | {name: first(name) for name in plain}).items()])
 
 
+# The files that hold reward tables (survey A16).
+REWARD_FILES = ("phase3cm_train_reward.csv", "phase3cm_candidate_train_reward_summary.csv")
+
+
+def find_reward_tables(spark: SparkSession, tables: list[str], roots: list[str]) -> list[str]:
+    """Paths of reward tables: those named that are there, then what lies anywhere under the roots; each once, whatever its case."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    found = [t for t in tables if hadoop(t).getFileSystem(conf).exists(hadoop(t))]
+    for root in roots:
+        files = hadoop(root).getFileSystem(conf)
+        if not files.exists(hadoop(root)):
+            continue
+        below = []
+        walk = files.listFiles(hadoop(root), True)
+        while walk.hasNext():
+            path = walk.next().getPath()
+            below.append((path.getName(), path.toUri().getPath()))
+        found += [path for name in REWARD_FILES for own, path in sorted(below) if own == name]
+    once: dict[str, str] = {}
+    for path in found:
+        once.setdefault(path.lower(), path)
+    return list(once.values())
+
+
+def read_reward_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The tables' candidates in the one schema; of a formula's rows the one of the first table, then the first by value."""
+    out = None
+    for number, path in enumerate(paths):
+        rows = candidate_schema(read_ledger(spark, path)).where("expression != '' or expression_hash != ''").withColumn("__table", F.lit(number))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return candidate_schema(spark.createDataFrame([], "expression string"))
+    names = [c for c in out.columns if c != "__table"]
+    first = F.min(F.struct("__table", *[c for c in names if c != "expression_hash"])).alias("first")
+    return out.groupBy("expression_hash").agg(first).select(*[F.col("expression_hash") if c == "expression_hash" else F.col(f"first.{c}").alias(c) for c in names])
+
+
+def merge_chunks(chunks: dict[int, DataFrame], value: str = "train_reward", decision: str = "train_reward_decision") -> tuple[DataFrame, dict]:
+    """Rows of all chunks with ``parallel_chunk_id``, best first, and their counts anew; a column that a chunk lacks is null there."""
+    out = None
+    for number, rows in sorted(chunks.items()):
+        own = rows.withColumn("parallel_chunk_id", F.lit(number))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    counts = out.agg(F.count("*").alias("candidate_count"), F.count_if(F.col(decision) == "TRAIN_REWARD_FOLLOWUP_READY").alias("followup_count")).first().asDict()
+    ordered = out.orderBy(F.desc(F.coalesce(F.col(value).try_cast("double"), F.lit(-999.0))), "parallel_chunk_id")
+    return ordered, counts | {"parallel_chunk_count": len(chunks)}
+
+
 def append_checkpoint(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Add a batch's rows to a checkpoint unless their keys are there; safe to repeat after a failure."""
     spark = batch.sparkSession

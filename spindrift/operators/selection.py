@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,11 +51,11 @@ def top_rows(table: DataFrame, scores: list[str], n: int, tie: str) -> DataFrame
     return table.orderBy(*[F.coalesce(F.col(s), F.lit(-999.0)).desc() for s in scores], tie).limit(n)
 
 
-def pick_capped(rows: list[dict], limit: int, caps: dict[str, int]) -> list[dict]:
+def pick_capped(rows: Iterable[dict], limit: int, caps: dict[str, int]) -> list[dict]:
     """Rows in their order, skipping any that would take a key's value over its cap.
 
     Whether a row stays depends on all rows taken before it, so this is a walk over the
-    (short) list of proposals, not a window.
+    proposals until enough are taken, not a window; they may come one by one.
     """
     taken: list[dict] = []
     counts: dict[tuple[str, object], int] = {}

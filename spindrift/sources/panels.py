@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import re
 from dataclasses import dataclass
 
@@ -62,6 +64,18 @@ def read_existing(spark: SparkSession, path: str, schema: str, columns: list[str
     return found.select(present) if present else spark.createDataFrame([], schema)
 
 
+def read_years(spark: SparkSession, root: str, years: Iterable[int], schema: str) -> DataFrame:
+    """Rows of a context kept in folders ``year=...``, of the years asked for that are there; none there: an empty table.
+
+    Only the folders of those years are listed and read; the year itself is no column unless the files hold it.
+    """
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [f"{root.rstrip('/')}/year={year}" for year in sorted(set(years))]
+    there = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))]
+    return spark.read.schema(schema).option("basePath", root).parquet(*there).select(*[c.split()[0] for c in schema.split(", ")]) if there else spark.createDataFrame([], schema)
+
+
 def read_shards(spark: SparkSession, pattern: str, limit: int | None = None) -> DataFrame:
     """All shards that match, with ``shard_index``: the number in the first ``shard_NN`` of the file's path."""
     panel = spark.read.parquet(pattern)

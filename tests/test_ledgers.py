@@ -113,3 +113,41 @@ def test_pairwise_sums_against_the_aggregate(spark):
         expected = wide.agg(m.correlation(left, right)).first()[0]
         assert (value is None) == (expected is None) and (value is None or math.isclose(value, expected, abs_tol=1e-9))
     assert got["a", "c"] is None and got["a", "d"] is None and math.isclose(got["a", "e"], -1)
+
+
+def test_reward_tables_are_found_and_merged(spark, tmp_path):
+    for name, rows in {"a/phase3cm_train_reward.csv": "expression,train_reward\n\"Mul($a,$b)\",0.5\n$c,0.1\n", "b/c/phase3cm_candidate_train_reward_summary.csv": "expression,train_reward\n$c,0.9\n$d,\n", "b/other.csv": "x\n1\n"}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(rows)
+    named = f"{tmp_path}/a/phase3cm_train_reward.csv"
+    found = led.find_reward_tables(spark, [named, f"{tmp_path}/none.csv"], [str(tmp_path), f"{tmp_path}/nowhere"])
+    assert [p.rsplit("/", 1)[1] for p in found] == ["phase3cm_train_reward.csv", "phase3cm_candidate_train_reward_summary.csv"]
+    rows = {r.expression: r.train_reward for r in led.read_reward_tables(spark, found).collect()}
+    assert rows == {"Mul($a,$b)": "0.5", "$c": "0.1", "$d": ""}
+    assert led.read_reward_tables(spark, []).collect() == []
+
+
+def test_chunks_merge(spark):
+    schema = "key string, train_reward string, train_reward_decision string"
+    chunks = {2: spark.createDataFrame([("a", "0.5", "TRAIN_REWARD_FOLLOWUP_READY"), ("b", "", "HOLD")], schema), 1: spark.createDataFrame([("c", "0.7", "HOLD", 1)], schema + ", extra int")}
+    rows, counts = led.merge_chunks(chunks)
+    assert [(r.key, r.parallel_chunk_id, r.extra) for r in rows.collect()] == [("c", 1, 1), ("a", 2, None), ("b", 2, None)]
+    assert counts == {"candidate_count": 3, "followup_count": 1, "parallel_chunk_count": 2}
+
+
+def test_year_folders(spark, tmp_path):
+    from spindrift.sources.panels import read_years
+
+    spark.createDataFrame([(k, 2000 + k % 3) for k in range(9)], "code int, year int").write.partitionBy("year").parquet(f"{tmp_path}/ctx")
+    assert sorted(r.code for r in read_years(spark, f"{tmp_path}/ctx", [2001, 2002, 2009], "code int").collect()) == [1, 2, 4, 5, 7, 8]
+    assert read_years(spark, f"{tmp_path}/ctx", [1990], "code int").collect() == []
+    assert read_years(spark, f"{tmp_path}/nowhere", [2001], "code int").collect() == []
+
+
+def test_capped_walk_goes_on():
+    """Caps that only the last of very many proposals meets."""
+    from spindrift.operators.selection import pick_capped
+
+    rows = ({"position": k, "lane": "x" if k < 5000 else "y", "fields": f"f{k}"} for k in range(5001))
+    assert [r["position"] for r in pick_capped(rows, 3, {"lane": 2, "fields": 1})] == [0, 1, 5000]
