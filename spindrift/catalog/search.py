@@ -401,14 +401,14 @@ def register(catalog: Catalog) -> None:
         by = ["expression_hash"]
         cells = r.select(*by, F.concat_ws("-", "position", "horizon").alias("cell"), F.col("aligned_spread_mean").alias("spread"), F.col("aligned_ic_mean").alias("ic"))
         tops = r.groupBy(*by).agg(F.avg("aligned_ic_mean").alias("aligned_ic_mean"), F.avg("mean_one_way_turnover").alias("mean_one_way_turnover"), F.min("blocker_flags").alias("blocker_flags"))
-        return led.proxy_audit(tops, cells, by)
+        return led.proxy_audit(tops, cells, by, iterations=2000)
 
     @catalog.query("bucket_budgets")
     def bucket_budgets(spark, sf_dir):
         asked = [(n, e, r, f) for n in (1, 7, 64, 257) for e, r, f in ((0.3, 0.2, 0.1), (0.9, 0.9, 0.9), (0.0, 0.0, 0.0), (0.45, 0.35, 0.25))]
         return spark.createDataFrame([(*row, k, v) for row in asked for k, v in led.bucket_budgets(*row).items()], "total int, event double, research double, fundamental double, bucket string, budget int")
 
-    @catalog.query("incremental_checkpoint")
+    @catalog.query("incremental_checkpoint", "select s_suppkey, s_acctbal from supplier")
     def incremental_checkpoint(spark, sf_dir):
         import uuid
 
