@@ -37,6 +37,8 @@ LONG_WORD = 38
 REMEMBERED = 200_000
 #: Words that are looked up in one go.
 AT_ONCE = 1 << 16
+#: Words whose lattices are worked out together when fitting, on the driver.
+FIT_AT_ONCE = 1 << 14
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,9 +89,10 @@ class Expectation:
 
     def __init__(self, lattice: Lattice, words: list[tuple[str, float]]):
         self.size = lattice.size
-        starts, self.before, self.node, self.piece = lattice.side_by_side([w for w, _ in words])
+        starts, *arcs = lattice.side_by_side([w for w, _ in words])
+        self.before, self.node, self.piece = (a.astype(np.int32) for a in arcs)
         self.starts, self.ends, self.nodes = starts[:-1], starts[1:] - 1, int(starts[-1])
-        word = np.repeat(np.arange(len(words)), np.diff(starts))
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(starts))
         self.word, self.weight = word[self.node], np.array([c for _, c in words])
         place = np.arange(self.nodes) - self.starts[word] if len(words) else np.empty(0, np.int64)
         self.forward = self._steps(self.node, place)
@@ -97,7 +100,7 @@ class Expectation:
 
     def _steps(self, at: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Arcs grouped by the place of ``at`` in their words: (arcs, where a new node begins, those nodes)."""
-        order = np.lexsort((at, place[at]))
+        order = np.lexsort((at, place[at])).astype(np.int32)
         out = []
         for part in np.split(order, np.flatnonzero(np.diff(place[at][order])) + 1) if len(order) else []:
             here = at[part]
@@ -119,7 +122,7 @@ class Expectation:
 
 def fit_pieces(lattice: Lattice, words: list[tuple[str, float]], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from (word, count) rows."""
-    parts = [Expectation(lattice, words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)]
+    parts = [Expectation(lattice, words[k : k + FIT_AT_ONCE]) for k in range(0, len(words), FIT_AT_ONCE)]
     probability = np.full(lattice.size, 1e-3)
     for _ in range(rounds):
         counts = sum((p.counts(probability) for p in parts), np.zeros(lattice.size)) + SMOOTHING
@@ -250,8 +253,9 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", i
     sample = labelled.where(draw < share).select("lang", "text")
     counted = sample.mapInArrow(_word_batches, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words: dict[str, list[tuple[str, float]]] = {}
-    for row in counted.collect():
-        words.setdefault(row["lang"], []).append((row["word"], float(row["n"])))
+    # As columns, which take a tenth of the memory that rows do.
+    for lang, word, n in zip(*(column.to_pylist() for column in counted.toArrow().select(["lang", "word", "n"]).columns), strict=True):
+        words.setdefault(lang, []).append((word, float(n)))
     languages = tuple(sorted(words))
     lattice = Lattice(vocabulary)
     columns = [fit_pieces(lattice, sorted(words[lang])) for lang in languages]
