@@ -52,9 +52,9 @@ class Catalog:
 
 
 def load() -> Catalog:
-    from spindrift.catalog import expressions, features, joins, metrics, reports, scans, search, selection
+    from spindrift.catalog import encoding, expressions, features, joins, metrics, reports, scans, search, selection
 
     catalog = Catalog()
-    for part in (scans, expressions, features, joins, selection, metrics, reports, search):
+    for part in (scans, expressions, features, joins, selection, metrics, reports, search, encoding):
         part.register(catalog)
     return catalog

@@ -376,6 +376,11 @@ def register(catalog: Catalog) -> None:
         pieces = curve(spark, sf_dir).select("candidate", F.to_date("trade_time").alias("day"), "trade_time", "net_return")
         return m.day_bootstrap(pieces, ["candidate"], iterations=1000, value="net_return", block="day")
 
+    @catalog.query("fragment_bootstrap")
+    def fragment_bootstrap(spark, sf_dir):
+        pieces = curve(spark, sf_dir).select("candidate", "trade_time", "net_return")
+        return m.day_bootstrap(pieces, ["candidate"], iterations=1000, value="net_return")
+
     @catalog.query("train_reward")
     def train_reward(spark, sf_dir):
         rows = portfolio(spark, sf_dir)

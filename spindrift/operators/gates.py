@@ -279,3 +279,15 @@ def memory_view(memory: DataFrame) -> DataFrame:
     judged = typed_gate(memory)
     blocked = F.col("typed_gate_decision") != "allow"
     return judged.withColumns({"memory_status": F.when(blocked, "blocked").otherwise("kept"), "credit": F.when(~blocked, F.col("reward"))})
+
+
+# What stops a typed canary, and the report that has to show that it didn't happen (survey A20). Conditions in our words.
+STOP_CONDITIONS = [
+    ("ce2_01_entry_path", "no candidate has a field of the event, state or coverage lanes that were asked for", "candidate_field_category_attribution.csv"),
+    ("ce2_02_old_primitive_leak", "a blocked category is inside an ordinary primitive without its typed form", "typed_gate_violation.csv"),
+    ("ce2_03_coverage_mask_alpha", "a field does no better than its coverage mask or its shuffled values", "coverage_placebo_audit.csv"),
+    ("ce2_04_event_start_bias", "ages, counts and dwells move mainly where coverage or recording starts", "event_observable_boundary_audit.csv"),
+    ("ce2_05_same_count_placebo", "event candidates do no better than as many random rows or matched controls", "event_state_placebo_audit.csv"),
+    ("ce2_06_wrong_lag", "a wrong lag or a value not known that day does better than the right one", "lag_contract_audit.csv"),
+    ("ce2_07_fragment_replay", "proxy metrics pass, the replay of fragments with costs and blocks of days doesn't", "fragment_replay_summary.csv"),
+]

@@ -8,6 +8,7 @@ depends on those before it.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import Counter
 from collections.abc import Callable, Iterable
@@ -302,25 +303,40 @@ class Generator:
 
 
 Evaluate = Callable[[list[dict]], tuple[DataFrame, DataFrame]]
+Progress = Callable[[dict], None]
 
 
-def adaptive_rounds(spark: SparkSession, available: list[str], policy: DataFrame, memory: DataFrame, evaluate: Evaluate, plan: list[str], limit: int, least: int = 8) -> list[dict]:
+def tell(progress: Progress | None, **event) -> None:
+    """Reports an event, if there is someone to report to; that may fail, the work goes on."""
+    if progress is None:
+        return
+    try:
+        progress(event)
+    except Exception as failure:  # a callback is foreign code: no failure of it may change results
+        logging.getLogger(__name__).warning("progress callback: %s", failure)
+
+
+def adaptive_rounds(spark: SparkSession, available: list[str], policy: DataFrame, memory: DataFrame, evaluate: Evaluate, plan: list[str], limit: int, least: int = 8, progress: Progress | None = None) -> list[dict]:
     """Rounds of generating, measuring and learning: each round's decisions move the policy of the next.
 
     evaluate: candidates to (metrics by formula and horizon, correlations of formulas). One
-    row a round: arm, candidates, follow-ups and the best correlation.
+    row a round: arm, candidates, follow-ups and the best correlation. ``progress`` is told of
+    each round's start and end.
     """
     report = []
     for number, arm in enumerate(plan, 1):
+        tell(progress, event="round_start", round=number, rounds=len(plan), arm=arm)
         rows = Generator(spark, available, policy, memory).arm(arm, limit)
         if not rows:
             report.append({"round": number, "arm": arm, "candidates": 0, "followups": 0, "best_abs_ic": None})
+            tell(progress, event="round_end", **report[-1])
             continue
         decisions = decide(*evaluate(rows))
         texts = spark.createDataFrame([(r["expression_hash"], r["expression"], r["lane"]) for r in rows], "expression_hash string, expression string, lane string")
         learned = decisions.join(texts, "expression_hash")
         summary = decisions.agg(F.count_if(F.col("decision") == "bp_followup_priority").alias("f"), F.max("abs_aligned_ic_mean").alias("b")).first()
         report.append({"round": number, "arm": arm, "candidates": len(rows), "followups": summary["f"], "best_abs_ic": summary["b"]})
+        tell(progress, event="round_end", **report[-1])
         moved = [(r["kind"], r["key"], r["score"]) for r in policy_feedback(policy, learned, least=least).collect()]
         policy = spark.createDataFrame(moved, "kind string, key string, score double")
         memory = memory.unionByName(texts.select("expression_hash"))
