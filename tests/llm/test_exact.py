@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import pytest
 import xxhash
 
 from spindrift.llm import contamination, html_text, language, mixing, pieces, quality, repeats, secrets, simhash, token_counts, toxicity, transducers
+from spindrift.llm.common import settings
 from tests.llm.conftest import DOC_SCHEMA, sentence
 
 
@@ -734,6 +736,52 @@ def test_equal_neighbours(spark):
     assert out == {0: "the same words", 1: "the same words", 2: "the same words", 3: "the same words", 9: "other words than those", 10: "a third text of words"}
 
 
+def test_marked_articles_come_through_differencing(spark):
+    """Of a page's marked elements those go that its neighbour shares as a whole; the article's own shared lines come back, an ad that differs goes."""
+
+    def page(n, body, about="<article><h2>About us</h2><p>We write news.</p></article>"):
+        return (n, f"http://h.org/news/{n}", f"<div class='ad'>Buy {n}</div><div>Site</div><article>{body}</article>{about}")
+
+    rows = [page(1, "<p>Rain falls.</p><p>The end.</p>"), page(2, "<p>Sun shines.</p><p>The end.</p>"), page(3, "<p>Wind blows.</p><p>Twice.</p><p>The end.</p>")]
+    rows += [(9, "http://other.org/x", page(9, "<p>Only page.</p>")[2])]
+    rows += [(20 + k, f"http://third.org/{k}", f"<div>Own words of page {k}, which no other page has.</div><article><p>Same.</p></article>") for k in range(2)]
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {
+        1: "Rain falls.\nThe end.",
+        2: "Sun shines.\nThe end.",
+        3: "Wind blows.\nTwice.\nThe end.",
+        9: "Only page.\nAbout us\nWe write news.",
+        20: "Same.",
+        21: "Same.",
+    }
+
+
+def test_neighbours_share_whole_path_segments(spark):
+    """'-' comes before '/', yet /news/x is next to /news and not to /news-old."""
+    page = lambda n, path, top, body: (n, f"http://h.org{path}", f"<div>{top}</div><div>{body}</div>")
+    rows = [page(1, "/news", "News menu", "Rain falls all day."), page(2, "/news-old", "Archive menu", "Older things than that."), page(3, "/news/x", "News menu", "Sun shines again.")]
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {1: "Rain falls all day.", 2: "Archive menu\nOlder things than that.", 3: "Sun shines again."}
+
+
+def test_neighbours_across_ranges(spark):
+    """Every range of pages ends between pages of a host; some hold one page."""
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="7"):
+        test_pages_against_brute_force(spark)
+    rows = [(k, f"http://h/{k}", f"<p>menu line</p><p>own words {k}</p>") for k in range(9)]
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="9"):
+        out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"own words {k}" for k in range(9)}
+
+
+def test_long_names_are_read_in_one_pass():
+    """Minutes, if each end of a name were tried."""
+    start = time.monotonic()
+    assert html_text.read_lines("<p" + "x" * 100_000) == []
+    assert html_text.read_lines("<div " + "x" * 100_000 + ">t") == [("t", False)]
+    assert time.monotonic() - start < 20
+
+
 # --- repeats
 
 
